@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language_id
+from . import decontaminate, jaccard, language_id, mixing, quality_rules, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = tuple(
+    url_reputation.UrlRule(verdict, rule)
+    for verdict, rule in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+)
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels")
+    good = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    good = good.where(labels["quality"].isNotNull() & labels["toxic"].isNotNull())
+    return url_reputation.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), good, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_classes(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -25,5 +38,35 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(texts, teach).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_language_id)}
-SQL: dict[str, str] = {}
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.item_digest(decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark"), width=8))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.apply_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), most_copies=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_ngram_jaccard_join,
+        op3_language_id,
+        op4_benchmark_decontamination,
+        op5_quality_rules,
+        op6_mixing_sources,
+    )
+}
+SQL: dict[str, str] = {
+    "op1_url_filters": url_reputation.sql(URL_RULES),
+    "op4_benchmark_decontamination": decontaminate.SQL,
+    "op5_quality_rules": quality_rules.SQL,
+    "op6_mixing_sources": mixing.SQL,
+}
