@@ -1,8 +1,76 @@
-"""Corpus pipeline (written stage by stage)."""
+"""Corpus pipeline: language, quality, near-duplicates, benchmark passages, mixture.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept; all but the last
+return the columns of ``docs``. Between stages the documents are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.llm import decontaminate, jaccard, language_id, mixing, quality_rules
+from granary.llm.scratch import stored
+
+#: A document whose language stays in doubt goes.
+MIN_LANGUAGE_SCORE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is told with some confidence; ``und`` goes."""
+    teach = docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out(F.col("doc_id"))).select("text", "lang")
+    found = language_id.identify(docs, teach)
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that pass every rule."""
+    return quality_rules.apply_rules(docs).where("kept").select(*docs.columns)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of linked documents the one of the smallest id.
+
+    An id stays when one of its rows leads its group; of several rows of an id the first text by code
+    point stays. Rows of a null id stay.
+    """
+    found = stored(jaccard.similarity_classes(docs), "near-duplicates").where("doc_id is not null")
+    ids = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id"))).alias("leads"), F.count("*").alias("n"))
+    gone = ids.where("not leads").select("doc_id")
+    several = stored(ids.where("leads and n > 1").select("doc_id"), "several")
+    out = docs.join(gone, "doc_id", "left_anti")
+    if not several.isEmpty():
+        first = out.join(several, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row")).select("row.*")
+        out = out.join(several, "doc_id", "left_anti").unionByName(first)
+    return out.select(*docs.columns)
+
+
+def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops every document in which a window of any benchmark item occurs: one whole item is a leak."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("items") == 0).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mixture takes, once for each copy, with copy_no."""
+    return mixing.mixed_documents(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("quality_rules", apply_quality_rules),
+    ("ngram_jaccard", remove_near_duplicates),
+    ("decontamination", remove_benchmark_passages),
+    ("mixing", mix_sources),
+]
+
+#: Language ID, a trained network, and the multi-pattern search's digest are beyond one SQL statement.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language_id, mixing, quality_rules, url_reputation
+from . import bloom_lm, chat_format, decontaminate, jaccard, kneser_ney, language_id, mixing, quality_rules, token_histogram, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,31 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), most_copies=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return kneser_ney.classify(_table(spark, sf_dir, "documents"), trusted).select("doc_id", "perplexity", "threshold", "kept")
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    held = F.coalesce(rest == 0, F.lit(False))
+    return bloom_lm.score(docs.withColumn("held_out", held), docs.where(rest != 0)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat_format.canonical(_table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "turn", F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), F.size("messages").cast("long").alias("n_messages"), "rendered")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = token_histogram.token_lengths(_table(spark, sf_dir, "documents").select("text"), TOKENIZER)
+    return token_histogram.length_histogram(lengths)
+
+
+#: A tiktoken ranks file; TOKENIZER_RANKS names another.
+TOKENIZER = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,6 +89,10 @@ QUERIES = {
         op4_benchmark_decontamination,
         op5_quality_rules,
         op6_mixing_sources,
+        op7_quality_classifier,
+        op8_lm_scoring,
+        op9_chat_formatting,
+        op10_token_counts,
     )
 }
 SQL: dict[str, str] = {
