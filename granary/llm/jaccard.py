@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import stored
@@ -145,10 +145,14 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _fits(a: str, b: str, percent: int):
+def _placed(x: str) -> list[Column]:
+    return [F.col(f"{x}.cid").alias(f"{x}_cid"), F.shiftright(f"{x}.place", 32).alias(f"{x}_pos"), F.col(f"{x}.place").bitwiseAND(F.lit((1 << 32) - 1)).alias(f"{x}_n")]
+
+
+def _fits(a: str, b: str, percent: int) -> Column:
     """The overlap that a shared token leaves possible: all from its place onward in either set."""
-    room = F.least(F.col(f"{a}.n_shingles") - F.col(f"{a}.pos"), F.col(f"{b}.n_shingles") - F.col(f"{b}.pos"))
-    return (100 + percent) * room >= percent * (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles"))
+    room = F.least(F.col(f"{a}_n") - F.col(f"{a}_pos"), F.col(f"{b}_n") - F.col(f"{b}_pos"))
+    return (100 + percent) * room >= percent * (F.col(f"{a}_n") + F.col(f"{b}_n"))
 
 
 def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -169,22 +173,31 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     order = spark.sparkContext.broadcast(order)
 
     sets = stored(texts.mapInArrow(_prefixes(width, percent, order), "doc_id long, n_shingles long, cid long, tokens array<long>"), "sets")
-    classes = stored(sets.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep")), "classes")
-    keyed = sets.where("n_shingles > 0").alias("s").join(classes.alias("c"), (F.col("s.cid") == F.col("c.cid")) & F.col("s.doc_id").eqNullSafe(F.col("c.rep")))
-    rows = keyed.select("s.cid", "c.rep", "s.n_shingles", F.posexplode("s.tokens").alias("pos", "token"))
-    pivots = rows.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.min(F.struct("pos", "cid", "rep", "n_shingles")).alias("pivot")).where("lo <> hi")
-    shared = stored(rows.join(pivots.select("token", "pivot"), "token"), "shared")
-
-    first = shared.select(F.struct("pos", "cid", "rep", "n_shingles").alias("a"), F.col("pivot").alias("b")).where(F.col("a.cid") != F.col("b.cid")).where(_fits("a", "b", percent))
-    links = _verified(texts, first, width, percent, "first")
+    classes = stored(sets.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")), "classes")
+    # all but one of the rows of a class stay out of the index
+    of_class = sets.where("n_shingles > 0").select("doc_id", "cid").join(classes.where("n_rows > 1"), "cid")
+    extra = of_class.where("not (doc_id <=> rep)").select("doc_id").distinct()
+    rows = sets.where("n_shingles > 0").join(extra, "doc_id", "left_anti")
+    rows = rows.select("cid", "n_shingles", F.posexplode("tokens").alias("pos", "token"))
+    # a row of the index: a place and a size share one number, which keeps the shuffle small
+    rows = rows.select("token", "cid", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n_shingles")).alias("place"))
+    meet = rows.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("token")
+    shared = stored(rows.join(meet, "token").distinct(), "shared")
+    pivots = shared.groupBy("token").agg(F.min("place").alias("place"), F.min_by("cid", F.struct("place", "cid")).alias("cid"))
+    paired = shared.alias("s").join(pivots.alias("p"), "token")
+    paired = stored(paired.select("token", *_placed("s"), *_placed("p")), "paired")
+
+    first = paired.where("s_cid <> p_cid").where(_fits("s", "p", percent))
+    links = _verified(texts, classes, first.select(F.col("s_cid").alias("a"), F.col("p_cid").alias("b")), width, percent, "first")
     roots = components(links)
 
-    labelled = shared.where(F.col("cid") != F.col("pivot.cid")).join(roots, shared["cid"] == roots["node"], "left").select("token", "pos", "cid", "rep", "n_shingles", F.coalesce("root", "cid").alias("label"))
-    open_tokens = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    rest = stored(labelled.join(open_tokens, "token"), "open")
-    pairs = rest.alias("a").join(rest.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.label") < F.col("b.label")) & _fits("a", "b", percent))
-    side = lambda x: F.struct(*(F.col(f"{x}.{c}") for c in ("pos", "cid", "rep", "n_shingles"))).alias(x)
-    more = _verified(texts, pairs.select(side("a"), side("b")), width, percent, "rest")
+    rest = paired.where("s_cid <> p_cid").select("token", "s_cid", "s_pos", "s_n")
+    rest = rest.join(roots, rest["s_cid"] == roots["node"], "left").select("token", "s_cid", "s_pos", "s_n", F.coalesce("root", "s_cid").alias("s_label"))
+    undone = rest.groupBy("token").agg(F.min("s_label").alias("lo"), F.max("s_label").alias("hi")).where("lo <> hi").select("token")
+    rest = stored(rest.join(undone, "token"), "rest")
+    other = rest.select("token", *(F.col(c).alias("o" + c[1:]) for c in rest.columns[1:]))
+    pairs = rest.join(other, (rest["token"] == other["token"]) & (F.col("s_label") < F.col("o_label")) & _fits("s", "o", percent))
+    more = _verified(texts, classes, pairs.select(F.col("s_cid").alias("a"), F.col("o_cid").alias("b")), width, percent, "rest")
     roots = stored(components(links.unionByName(more)), "roots")
 
     named = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
@@ -194,14 +207,14 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
     """The links (u, v) among candidate pairs (a, b) of classes, checked on the whole texts."""
-    swap = F.col("a.cid") > F.col("b.cid")
-    pick = lambda x, y, c, out: F.when(swap, F.col(f"{y}.{c}")).otherwise(F.col(f"{x}.{c}")).alias(out)
-    pairs = stored(pairs.select(pick("a", "b", "cid", "ca"), pick("b", "a", "cid", "cb"), pick("a", "b", "rep", "ra"), pick("b", "a", "rep", "rb")).distinct(), f"pairs-{name}")
-    wanted = pairs.select(F.col("ra").alias("rep")).unionByName(pairs.select(F.col("rb").alias("rep"))).distinct()
-    bodies = stored(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"]), "left_semi"), f"texts-{name}")
-    left = bodies.select(F.col("doc_id").alias("left_id"), F.col("text").alias("left"))
-    right = bodies.select(F.col("doc_id").alias("right_id"), F.col("text").alias("right"))
-    full = pairs.join(left, pairs["ra"].eqNullSafe(left["left_id"])).join(right, pairs["rb"].eqNullSafe(right["right_id"]))
-    return stored(full.select("ca", "cb", "left", "right").mapInArrow(_verify(width, percent), "u long, v long"), f"links-{name}")
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{name}")
+    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    wanted = wanted.join(classes.select("cid", "rep"), "cid")
+    bodies = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "text")
+    bodies = stored(bodies, f"texts-{name}")
+    left = bodies.select(F.col("cid").alias("a"), F.col("text").alias("left"))
+    right = bodies.select(F.col("cid").alias("b"), F.col("text").alias("right"))
+    full = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    return stored(full.mapInArrow(_verify(width, percent), "u long, v long"), f"links-{name}")
