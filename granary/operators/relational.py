@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import pinned
 from ..sources.random import Mulberry
 
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
@@ -193,10 +194,11 @@ def sample(df: DataFrame, n: int, *, seed: int, order_by: Sequence[str], with_re
 def numbered(df: DataFrame, order_by: Sequence[str], name: str) -> DataFrame:
     """``df`` with its row number from 0 in the order, without bringing the rows to one task.
 
-    Range partitions are sorted and counted, and each adds the rows of those before it.
+    Range partitions are sorted, numbered and written once; each then adds the rows of those before it.
     """
     order = [F.col(c).asc_nulls_last() for c in order_by]
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"part_": F.spark_partition_id(), "at_": F.monotonically_increasing_id()})
+    placed = pinned(placed)  # computed twice, the partitions could differ
     sizes = placed.groupBy("part_").agg(F.count("*").alias("n_"), F.min("at_").alias("first_"))
     before = F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
     return placed.join(sizes.select("part_", (before - F.col("first_")).alias("shift_")), "part_").withColumn(name, F.col("at_") + F.col("shift_")).drop("part_", "at_", "shift_")

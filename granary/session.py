@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,3 +22,16 @@ def get_session(app: str = "granary", **conf: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` written once to the checkpoint folder, for values that depend on how rows were partitioned.
+
+    The folder is the one that the cluster names in ``spark.checkpoint.dir``; a temporary one of this
+    machine is taken only where none is set.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="granary-"))
+    return df.checkpoint(eager=True)

@@ -79,4 +79,6 @@ def to_text(df: DataFrame, delimiter: str = ",") -> str:
 
 def write_csv(df: DataFrame, path: str, *, delimiter: str = ",", mode: str = "error") -> None:
     """Part files with headers, written by the executors."""
-    df.write.csv(path, header=True, sep=delimiter, mode=mode, nullValue="", emptyValue='""', escape='"', timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+    out = df.write.mode(mode).options(header=True, sep=delimiter, nullValue="", emptyValue='""', escape='"', timestampFormat=iso, timestampNTZFormat=iso)
+    out.csv(path)
