@@ -29,12 +29,12 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one of the smallest id.
+    """Keeps of each group of linked documents (five words, similarity 0.8) the one of the smallest id.
 
     An id stays when one of its rows leads its group; of several rows of an id the first text by code
     point stays. Rows of a null id stay.
     """
-    found = stored(jaccard.similarity_classes(docs), "near-duplicates").where("doc_id is not null")
+    found = stored(jaccard.similarity_classes(docs, width=5, percent=80), "near-duplicates").where("doc_id is not null")
     ids = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id"))).alias("leads"), F.count("*").alias("n"))
     gone = ids.where("not leads").select("doc_id")
     several = stored(ids.where("leads and n > 1").select("doc_id"), "several")

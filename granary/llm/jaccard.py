@@ -155,7 +155,7 @@ def _fits(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * room >= percent * (F.col(f"{a}_n") + F.col(f"{b}_n"))
 
 
-def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text, ...).
 
     Words are runs of other than ASCII white space after lower-casing A-Z; the set holds the distinct

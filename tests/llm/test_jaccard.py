@@ -36,13 +36,17 @@ def brute(rows, percent=85):
     return sorted(((i, len(s), low.get(find(k)) if s else i) for k, (i, s) in enumerate(sets)), key=str)
 
 
+def joined(df):
+    return jaccard.similarity_classes(df, width=4, percent=85)
+
+
 def result(df):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in df.collect()), key=str)
 
 
 def test_equals_brute_force(spark, some_docs):
     rows = [(r.doc_id, r.text) for r in some_docs.collect()]
-    got = result(jaccard.similarity_classes(some_docs))
+    got = result(joined(some_docs))
     assert got == brute(rows)
     assert len({c for _, _, c in got}) < len(got)
 
@@ -58,7 +62,7 @@ def test_chains_and_thresholds(spark):
         rows.append((100 - i, " ".join(words)))
     rows += [(200 + i, " ".join(base[: 60 - i])) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert result(jaccard.similarity_classes(df)) == brute(rows)
+    assert result(joined(df)) == brute(rows)
 
 
 def test_large_group_of_near_copies(spark):
@@ -70,16 +74,16 @@ def test_large_group_of_near_copies(spark):
             words[(11 * i + 29 * k) % 90] = f"edit{i}x{k}"
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert result(jaccard.similarity_classes(df)) == brute(rows)
+    assert result(joined(df)) == brute(rows)
 
 
 def test_odd_rows(spark, odd_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
-    assert result(jaccard.similarity_classes(clash(odd_docs, "n_shingles", "component_id", "cid", "token"))) == brute(rows)
+    assert result(joined(clash(odd_docs, "n_shingles", "component_id", "cid", "token"))) == brute(rows)
 
 
 def test_empty(no_docs):
-    assert jaccard.similarity_classes(no_docs).collect() == []
+    assert joined(no_docs).collect() == []
 
 
 @pytest.mark.parametrize(("n", "keep"), [(0, 0), (1, 1), (6, 1), (7, 2), (20, 4), (100, 16)])
