@@ -225,7 +225,13 @@ def win_rank(spark, sf):
 
 # -- time windows
 
-_SUM = {"n": F.count("*").alias("n"), "v": F.sum("value").alias("v")}
+
+def _n():
+    return F.count("*").alias("n")
+
+
+def _v():
+    return F.sum("value").alias("v")
 
 
 @query("SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS o_orderdate, count(*) AS n, sum(o_totalprice) AS v FROM orders GROUP BY 1")
@@ -240,22 +246,22 @@ def dyn_quarter_by(spark, sf):
 
 @query("SELECT make_timestamp((epoch_us(ts) // 604800000000) * 604800000000) AS ts, count(*) AS n, sum(value) AS v FROM events GROUP BY 1")
 def dyn_week(spark, sf):
-    return T.group_by_dynamic(table(spark, sf, "events"), "ts", "1w", _SUM["n"], _SUM["v"])
+    return T.group_by_dynamic(table(spark, sf, "events"), "ts", "1w", _n(), _v())
 
 
 @query("SELECT make_timestamp(((epoch_us(ts) // 21600000000) - j) * 21600000000) AS ts, count(*) AS n, sum(value) AS v FROM events, (SELECT unnest([0, 1, 2, 3]) AS j) GROUP BY 1")
 def dyn_sliding(spark, sf):
-    return T.group_by_dynamic(table(spark, sf, "events"), "ts", "6h", _SUM["n"], _SUM["v"], period="1d")
+    return T.group_by_dynamic(table(spark, sf, "events"), "ts", "6h", _n(), _v(), period="1d")
 
 
 @query("SELECT make_timestamp(((epoch_us(ts) - 7200000000 - 1) // 43200000000) * 43200000000 + 7200000000) AS ts, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def dyn_offset_closed_right(spark, sf):
-    return T.group_by_dynamic(table(spark, sf, "events"), "ts", "12h", _SUM["n"], offset="2h", closed="right", by=["event_type"])
+    return T.group_by_dynamic(table(spark, sf, "events"), "ts", "12h", _n(), offset="2h", closed="right", by=["event_type"])
 
 
 @query("SELECT make_timestamp((epoch_us(ts) // 86400000000) * 86400000000) AS ts, count(*) AS n FROM events WHERE epoch_us(ts) % 86400000000 < 21600000000 GROUP BY 1")
 def dyn_gapped(spark, sf):
-    return T.group_by_dynamic(table(spark, sf, "events"), "ts", "1d", _SUM["n"], period="6h")
+    return T.group_by_dynamic(table(spark, sf, "events"), "ts", "1d", _n(), period="6h")
 
 
 @query("SELECT (l_quantity - 2 - j * 5 - ((l_quantity - 2)::BIGINT % 5 + 5) % 5 + 2)::DOUBLE AS l_quantity, count(*) AS n FROM lineitem, (SELECT unnest([0, 1]) AS j) GROUP BY 1")
