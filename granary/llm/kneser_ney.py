@@ -217,7 +217,8 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, sl
     trusted_ids = trusted_ids.select("doc_id").where("doc_id is not null").distinct()
     rows = docs.select("doc_id", "text", "lang")
     part = fold(F.col("doc_id"), calibration_parts)
-    model = train(rows.where(part != 0).join(trusted_ids.where(part != 0), "doc_id", "left_semi"))
+    # the ids grow with the corpus, so they are never broadcast: the plan is the same at every size
+    model = train(rows.where(part != 0).join(trusted_ids.where(part != 0).hint("shuffle_hash"), "doc_id", "left_semi"))
     scored = stored(perplexity(rows, model), "scored")
     marked = scored.join(trusted_ids.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     held = marked.where(F.col("trusted") & (part == 0) & F.col("perplexity").isNotNull())
