@@ -220,6 +220,13 @@ def flow_tree(df: DataFrame, levels: Sequence[str], buckets: Sequence[str]) -> D
     return rollup_tree(df, levels, **sums, total=total)
 
 
+def timeline(df: DataFrame, date: str, label: str) -> DataFrame:
+    """(label, date, days_since_previous) in order of the date; texts are read as dates, others fail to null."""
+    rows = df.select(F.col(label).alias("label"), F.col(date).try_cast("timestamp").cast("timestamp_ntz").alias("date"))
+    w = Window.orderBy(F.col("date").asc_nulls_last(), "label")  # a row for each event of a figure
+    return rows.withColumn("days_since_previous", F.datediff("date", F.lag("date").over(w))).orderBy(F.col("date").asc_nulls_last(), "label")
+
+
 def power_rows(df: DataFrame, cohort: str, base_rate: str, behavior_change: str, **options) -> DataFrame:
     """(cohort, n_per_arm, total_n, p2) of a small table of cohorts."""
     rows = [(r[cohort], *(lambda p: (p.n_per_arm, p.total_n, p.p2))(power_analysis(r[base_rate], r[behavior_change], **options))) for r in df.select(cohort, base_rate, behavior_change).collect()]

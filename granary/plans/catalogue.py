@@ -11,6 +11,7 @@ from ..functions import aggs as A
 from ..functions import exprs as E
 from ..functions import windows as W
 from ..operators import profile as P
+from ..operators import quantiles
 from ..operators import relational as R
 from ..operators import timegroup as T
 from ..session import table
@@ -126,6 +127,12 @@ def agg_quantiles(spark, sf):
     return A.group(table(spark, sf, "lineitem"), ["l_shipdate"], A.median("l_extendedprice").alias("med"), A.quantile("l_quantity", 0.9).alias("q90"))
 
 
+@query("SELECT o_orderpriority, count(*) AS n, quantile_cont(o_totalprice, 0.1) AS q10, median(o_totalprice) AS q50, quantile_cont(o_totalprice, 0.99) AS q99 FROM orders GROUP BY ALL")
+def exact_quantiles(spark, sf):
+    q = quantiles.exact_quantiles(table(spark, sf, "orders"), "o_totalprice", [0.1, 0.5, 0.99], ["o_orderpriority"])
+    return q.select("o_orderpriority", "n", *(F.col("q")[i].alias(n) for i, n in enumerate(("q10", "q50", "q99"))))
+
+
 @query("""
 SELECT user_id, count(DISTINCT event_type) AS kinds, arg_min(event_type, event_id) FILTER (event_type <> 'click') AS first_kind, arg_max(value, event_id) AS last_value
 FROM events GROUP BY ALL

@@ -43,6 +43,16 @@ def read_csv(spark: SparkSession, path: str | list[str], *, delimiter: str = ","
     return typed(raw, dtypes)
 
 
+def read_csv_url(spark: SparkSession, url: str, *, delimiter: str = ",", dtypes: Mapping[str, str] | None = None, timeout: float = 60) -> DataFrame:
+    """A small CSV behind a web address, fetched by the driver; other URIs go to ``read_csv``."""
+    if not url.startswith(("http://", "https://")):
+        return read_csv(spark, url, delimiter=delimiter, dtypes=dtypes)
+    from urllib.request import urlopen
+
+    with urlopen(url, timeout=timeout) as answer:  # raises for any status but success
+        return from_text(spark, answer.read().decode("utf-8-sig"), delimiter=delimiter, dtypes=dtypes)
+
+
 def from_text(spark: SparkSession, text: str, *, delimiter: str = ",", dtypes: Mapping[str, str] | None = None) -> DataFrame:
     """CSV held in a string."""
     import csv

@@ -225,3 +225,32 @@ def test_profiles(spark):
     assert m.mean == 5 and m.median == 5
     c = spark.createDataFrame([("A", 0.1, 0.02)], "c string, b double, d double")
     assert P.power_rows(c, "c", "b", "d").first().n_per_arm > 1000
+
+
+def test_exact_quantiles(spark):
+    from granary.operators.quantiles import exact_quantiles
+
+    df = spark.range(4000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 != 0, F.rand(3)).alias("v")).unionByName(spark.createDataFrame([(None, 1.5), (9, None), (8, 2.0), (8, 4.0)], "k long, v double")).cache()
+    ps = [0, 0.1, 0.5, 0.99, 1]
+    got = {r.k: (r.n, r.q) for r in exact_quantiles(df.repartition(5), "v", ps, ["k"]).collect()}
+    want = {r.k: (r.n, r.q) for r in df.where("v is not null").groupBy("k").agg(F.count("v").alias("n"), F.percentile("v", F.array(*map(F.lit, ps))).alias("q")).collect()}
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+    assert got[8][1] == pytest.approx([2, 2.2, 3, 3.98, 4])
+    assert exact_quantiles(df, "v", [0.5]).first().n == sum(n for n, _ in got.values())
+    with pytest.raises(ValueError):
+        exact_quantiles(df, "v", [2])
+
+
+def test_formats_and_timeline(spark):
+    from granary.functions.format import percent, short_number
+
+    df = spark.createDataFrame([(12.0,), (1234.0,), (2.5e6,), (3e9,), (None,)], "v double")
+    assert [r.x for r in df.select(short_number(F.col("v")).alias("x")).collect()] == ["12", "1.2K", "2.5M", "3.0B", None]
+    assert df.select(percent(F.lit(0.125)).alias("x")).first().x == "12.5%"
+    t = spark.createDataFrame([("b", "2024-01-31"), ("a", "2024-01-01"), ("c", "x")], "l string, d string")
+    assert [(r.label, r.days_since_previous) for r in P.timeline(t, "d", "l").collect()][:2] == [("a", None), ("b", 30)]
+
+
+def test_csv_address(spark, tmp_path):
+    (tmp_path / "u.csv").write_text("a\n1\n")
+    assert C.read_csv_url(spark, f"file://{tmp_path}/u.csv").first().a == 1.0
