@@ -34,6 +34,42 @@ def query(sql: str | None = None):
     return add
 
 
+# -- the shapes of the published reference points
+
+
+@query("SELECT l_shipdate, avg(l_quantity) AS mean FROM lineitem GROUP BY ALL")
+def base_group_mean(spark, sf):
+    return A.group(table(spark, sf, "lineitem"), ["l_shipdate"], A.mean("l_quantity").alias("mean"))
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_extendedprice) AS total, avg(l_quantity) AS mean, count(l_tax) AS n FROM lineitem GROUP BY ALL")
+def base_group_two_keys(spark, sf):
+    return A.group(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], A.total("l_extendedprice").alias("total"), A.mean("l_quantity").alias("mean"), A.count("l_tax").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_quantity > 25 AND l_discount < 0.05")
+def base_filter_two(spark, sf):
+    keep = E.gt(F.col("l_quantity"), 25) & E.lt(F.col("l_discount"), 0.05)
+    return R.where(table(spark, sf, "lineitem"), keep).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem")
+def base_sort(spark, sf):
+    return R.sort(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", True, ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT l_orderkey, l_partkey, l_quantity, p_size FROM lineitem JOIN part ON l_partkey = p_partkey")
+def base_join(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", "p_size")
+    return R.join(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"), part, left_on="l_partkey", right_on="p_partkey").drop("p_partkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem")
+def base_with_column(spark, sf):
+    x = R.with_columns(table(spark, sf, "lineitem"), charge=E.mul(E.mul(F.col("l_extendedprice"), E.sub(1, F.col("l_discount"))), E.add(1, F.col("l_tax"))))
+    return x.select("l_orderkey", "l_linenumber", "charge")
+
+
 # -- projection, filters, expressions
 
 
