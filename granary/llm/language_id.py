@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .textarrays import CHUNK_BYTES, Texts, chunks
 
 UNDETERMINED = "und"
+_GUESS, _SCORE = "granary_guess", "granary_score"  # of the network, before texts without letters are told apart
 
 #: Byte classes: 0 padding and controls, 1 white space, 2 digits, 3 other ASCII, 4 to 29 letters, then
 #: each byte from 0x80. The network sees these, so case, digits and punctuation carry nothing.
@@ -197,7 +198,7 @@ def _predict(model):
                     weight = np.maximum(total.sum(axis=1), 1e-9)
                     best[lo:hi], score[lo:hi] = total.argmax(axis=1), np.clip(total.max(axis=1) / weight, 0, 1)
             names = pa.array(net.languages, pa.string()).take(pa.array(best))
-            yield pa.RecordBatch.from_arrays([*batch.columns, names, pa.array(score)], [*batch.schema.names, "lang_guess", "guess_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, names, pa.array(score)], [*batch.schema.names, _GUESS, _SCORE])
 
     return run
 
@@ -213,7 +214,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, config: Config
     if net is None:
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
     model = docs.sparkSession.sparkContext.broadcast(net)  # a fixed size: the network's tables
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_guess string", "guess_score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{_GUESS} string", f"{_SCORE} double"])
     out = docs.mapInArrow(_predict(model), schema)
     known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return out.withColumns({"lang_pred": F.when(known, F.col("lang_guess")).otherwise(UNDETERMINED), "score": F.when(known, F.col("guess_score")).otherwise(0.0)}).drop("lang_guess", "guess_score")
+    return out.withColumns({"lang_pred": F.when(known, F.col(_GUESS)).otherwise(UNDETERMINED), "score": F.when(known, F.col(_SCORE)).otherwise(0.0)}).drop(_GUESS, _SCORE)

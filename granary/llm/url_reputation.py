@@ -150,10 +150,10 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[UrlRule] = (),
         known, a, b = known.withColumn("n", F.lit(0)), F.lit(1.0), F.lit(0.0)
     deviation = F.sqrt(F.greatest(a * b, F.lit(0.0)) / ((a + b) * (a + b) * (a + b + 1)))
     judged = known.select("host", (a / (a + b)).alias("good_mean"), F.least(a / (a + b) + policy.z * deviation, F.lit(1.0)).alias("good_upper"), F.coalesce("n", F.lit(0)).cast("long").alias("n_labelled"))
-    rule = matched_rule(F.col("host"), F.col("path"), rules)
-    out = named.join(judged, "host", "left").withColumn("rule_", rule)
-    verdict = F.coalesce(F.col("rule_.verdict"), F.when(F.col("good_upper") < policy.min_good, "block").otherwise("allow"))
-    return out.withColumns({"rule": F.col("rule_.rule"), "verdict": verdict}).select(*pages.columns, "host", "path", "rule", "verdict", "good_mean", "good_upper", "n_labelled")
+    found = matched_rule(F.col("host"), F.col("path"), rules)
+    verdict = F.coalesce(found["verdict"], F.when(F.col("good_upper") < policy.min_good, "block").otherwise("allow"))
+    out = named.join(judged, "host", "left").withColumns({"rule": found["rule"], "verdict": verdict})
+    return out.select(*pages.columns, "host", "path", "rule", "verdict", "good_mean", "good_upper", "n_labelled")
 
 
 def sql(rules: Sequence[UrlRule], policy: Policy | None = None) -> str:
