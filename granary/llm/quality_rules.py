@@ -129,7 +129,8 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     are, repeated ones too; a column named like a result is replaced.
     """
     docs = docs.drop(*_NAMES, "base_failed", "failed_rules", "kept", "measures_")
-    found = docs.withColumn("measures_", measures(F.col("text")))
+    # a generator of one row: the optimizer moves no filter below it, which would measure once for each use
+    found = docs.select("*", F.explode(F.array(measures(F.col("text")))).alias("measures_"))
     get = lambda c: F.col(f"measures_.{_NAMES[c]}")
     base = (get("n_words") < 50) | (100 * get("n_repeat_words") > 50 * get("n_words"))
     failed = compiled(rules, get)

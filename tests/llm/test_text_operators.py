@@ -142,6 +142,8 @@ def test_quality_measures_equal_brute_force(spark, odd_docs):
 def test_quality_plan_has_no_python(some_docs):
     plan = quality_rules.apply_rules(some_docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan) and "Exchange" not in plan
+    kept = quality_rules.apply_rules(some_docs).where("kept").select("doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert kept.count("n_repeat_words, ") == 1  # measured once, whatever is filtered
 
 
 def test_quality_empty(no_docs):
