@@ -34,9 +34,10 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     An id stays when one of its rows leads its group; of several rows of an id the first text by code
     point stays. Rows of a null id stay.
     """
-    found = stored(jaccard.similarity_classes(docs, width=5, percent=80), "near-duplicates").where("doc_id is not null")
+    found = jaccard.similarity_classes(docs, width=5, percent=80).where("doc_id is not null")
     ids = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id"))).alias("leads"), F.count("*").alias("n"))
-    gone = ids.where("not leads").select("doc_id")
+    # as many ids as there are copies: shuffled at every size
+    gone = ids.where("not leads").select("doc_id").hint("shuffle_hash")
     several = stored(ids.where("leads and n > 1").select("doc_id"), "several")
     out = docs.join(gone, "doc_id", "left_anti")
     if not several.isEmpty():

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashindex import HashIndex, Tally
-from .scratch import stored
+from .scratch import intermediate, lasting, stored
 from .textarrays import Texts, chunks, mix
 
 _END = np.uint64(0x1D8E4E27C47D124F)  # the token at the end of each text
@@ -269,7 +269,11 @@ def score(docs: DataFrame, training: DataFrame, config: Config | None = None) ->
     """
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "base", "rid", "rare")
     docs = docs.drop(*new)
-    model, vocab = train(training, config)
+    with intermediate(docs.sparkSession):
+        return lasting(_scored(docs, *train(training, config)), "scores")
+
+
+def _scored(docs: DataFrame, model: Model, vocab: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "n_tokens long, n_known long, base double, score double, rid long, rare array<long>"])
     rows = stored(docs.mapInArrow(_score(sent), schema), "scored")

@@ -9,8 +9,8 @@ documents; any numbers there give an order, so the table's fixed size costs spee
 
 Copies cost nothing: documents of equal sets form one class and only classes meet. Within an index
 bucket each class first meets one pivot, the class in which the token stands furthest ahead; what
-remains are pairs of a bucket which pivots have not brought into one component, and those meet under
-the same filters. Components are found by alternating star contractions over verified links.
+remains are pairs of a bucket which pivots have not brought together, and those meet under the same
+filters. Components are found by alternating star contractions over verified links.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import intermediate, lasting, stored
 from .textarrays import SPACED, Texts, chunks, mix, sequence_hash
 
 #: Counters of the frequency order: 4 bytes each in the broadcast, at every size of the input.
@@ -98,14 +98,21 @@ def _lowest(s: np.ndarray, order: int, keep: int) -> np.ndarray:
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two non-empty sets reach the similarity: sizes, further orders, then the exact overlap."""
-    total = len(a) + len(b)
-    if (100 + percent) * min(len(a), len(b)) < percent * total:
-        return False
-    for order in _FURTHER_ORDERS:
-        if not len(np.intersect1d(_lowest(a, order, prefix_length(len(a), percent)), _lowest(b, order, prefix_length(len(b), percent)))):
-            return False
-    return (100 + percent) * len(np.intersect1d(a, b, assume_unique=True)) >= percent * total
+    """Whether two non-empty sets reach the similarity."""
+    return (100 + percent) * len(np.intersect1d(a, b, assume_unique=True)) >= percent * (len(a) + len(b))
+
+
+def _further_prefixes(width: int, percent: int):
+    """Of each class its prefixes under the further orders, as 32-bit keys (equal tokens have equal keys)."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            found = [(ids[i], s) for i, s in shingle_sets(batch.column(1), width) if _class_id(s) == ids[i]]
+            cut = lambda k: [(_lowest(s, _FURTHER_ORDERS[k], prefix_length(len(s), percent)) >> np.uint64(32)).astype(np.uint32).view(np.int32) for _, s in found]  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array(cut(0), pa.list_(pa.int32())), pa.array(cut(1), pa.list_(pa.int32()))], ["cid", "second", "third"])
+
+    return run
 
 
 def _verify(width: int, percent: int):
@@ -128,16 +135,10 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate, each written to the shared folder, until the edges stay
     as they are. A hub's edges are reduced by a partial minimum before they are shuffled.
     """
-    edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    edges = stored(_ordered(edges), "edges")
     state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stored(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = stored(small.where("u <> v").distinct(), "small-star")
+        edges = stored(_star_round(edges), "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -145,6 +146,33 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _ordered(edges: DataFrame) -> DataFrame:
+    return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+
+
+def _star_round(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step; each edge goes from a node to a smaller one of its component."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+    return small.where("u <> v").distinct()
+
+
+def _roots(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, root) of every linked node, by the components of what ``labels`` (node, label) leave apart."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
+    named = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v"))
+    apart = stored(_ordered(named), "apart")
+    nodes = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    labelled = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    if apart.isEmpty():
+        return labelled.withColumnRenamed("label", "root")
+    met = components(apart).select(F.col("node").alias("label"), "root")
+    return labelled.join(met, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
+
+
 def _placed(x: str) -> list[Column]:
     return [F.col(f"{x}.cid").alias(f"{x}_cid"), F.shiftright(f"{x}.place", 32).alias(f"{x}_pos"), F.col(f"{x}.place").bitwiseAND(F.lit((1 << 32) - 1)).alias(f"{x}_n")]
 
@@ -164,6 +192,11 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     A null, empty or blank text has no shingles, links with nothing and is its own component, as is any
     row of a null doc_id that links with none. Repeated rows stay repeated. Other columns are ignored.
     """
+    with intermediate(docs.sparkSession):
+        return _similarity_classes(docs, width, percent)
+
+
+def _similarity_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     counted = texts.select("text").mapInArrow(_bucket_counts(width), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -176,8 +209,8 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     classes = stored(sets.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")), "classes")
     # all but one of the rows of a class stay out of the index
     of_class = sets.where("n_shingles > 0").select("doc_id", "cid").join(classes.where("n_rows > 1"), "cid")
-    extra = of_class.where("not (doc_id <=> rep)").select("doc_id").distinct()
-    rows = sets.where("n_shingles > 0").join(extra, "doc_id", "left_anti")
+    extra = of_class.where("not (doc_id <=> rep)").select("doc_id", "cid").distinct()
+    rows = sets.where("n_shingles > 0").join(extra, ["doc_id", "cid"], "left_anti")
     rows = rows.select("cid", "n_shingles", F.posexplode("tokens").alias("pos", "token"))
     # a row of the index: a place and a size share one number, which keeps the shuffle small
     rows = rows.select("token", "cid", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n_shingles")).alias("place"))
@@ -187,34 +220,44 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     paired = shared.alias("s").join(pivots.alias("p"), "token")
     paired = stored(paired.select("token", *_placed("s"), *_placed("p")), "paired")
 
+    # the texts of all classes in the index: ids grow with the corpus, so this join is shuffled at every size
+    wanted = classes.join(shared.select("cid").distinct(), "cid").select("cid", "rep").hint("shuffle_hash")
+    bodies = stored(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "text"), "bodies")
+    further = stored(bodies.mapInArrow(_further_prefixes(width, percent), "cid long, second array<int>, third array<int>"), "orders")
+    verified = lambda pairs, name: _verified(bodies, further, pairs, width, percent, name)
+
     first = paired.where("s_cid <> p_cid").where(_fits("s", "p", percent))
-    links = _verified(texts, classes, first.select(F.col("s_cid").alias("a"), F.col("p_cid").alias("b")), width, percent, "first")
-    roots = components(links)
+    links = verified(first.select(F.col("s_cid").alias("a"), F.col("p_cid").alias("b")), "first")
+    # one round joins the stars around pivots; equal labels mean one component
+    labels = stored(_star_round(_ordered(links)).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")), "labels")
 
     rest = paired.where("s_cid <> p_cid").select("token", "s_cid", "s_pos", "s_n")
-    rest = rest.join(roots, rest["s_cid"] == roots["node"], "left").select("token", "s_cid", "s_pos", "s_n", F.coalesce("root", "s_cid").alias("s_label"))
+    rest = rest.join(labels, rest["s_cid"] == labels["node"], "left").select("token", "s_cid", "s_pos", "s_n", F.coalesce("label", "s_cid").alias("s_label"))
     undone = rest.groupBy("token").agg(F.min("s_label").alias("lo"), F.max("s_label").alias("hi")).where("lo <> hi").select("token")
     rest = stored(rest.join(undone, "token"), "rest")
     other = rest.select("token", *(F.col(c).alias("o" + c[1:]) for c in rest.columns[1:]))
     pairs = rest.join(other, (rest["token"] == other["token"]) & (F.col("s_label") < F.col("o_label")) & _fits("s", "o", percent))
-    more = _verified(texts, classes, pairs.select(F.col("s_cid").alias("a"), F.col("o_cid").alias("b")), width, percent, "rest")
-    roots = stored(components(links.unionByName(more)), "roots")
+    more = verified(pairs.select(F.col("s_cid").alias("a"), F.col("o_cid").alias("b")), "rest")
+    roots = stored(_roots(links.unionByName(more), labels), "roots")
 
     named = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = named.join(lowest, "root").select("cid", "component_id")
     out = sets.drop("tokens").join(of_class, "cid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return lasting(out, "classes")
 
 
-def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """The links (u, v) among candidate pairs (a, b) of classes, checked on the whole texts."""
-    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{name}")
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = wanted.join(classes.select("cid", "rep"), "cid")
-    bodies = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "text")
-    bodies = stored(bodies, f"texts-{name}")
+def _verified(bodies: DataFrame, further: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+    """The links (u, v) among candidate pairs (a, b) of classes.
+
+    Pairs whose prefixes do not meet under every further order end here; of the others the whole texts
+    are compared.
+    """
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of = lambda x: further.select(F.col("cid").alias(x), F.col("second").alias(f"{x}2"), F.col("third").alias(f"{x}3"))
+    agreed = pairs.join(of("a"), "a").join(of("b"), "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
     left = bodies.select(F.col("cid").alias("a"), F.col("text").alias("left"))
     right = bodies.select(F.col("cid").alias("b"), F.col("text").alias("right"))
-    full = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    full = agreed.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     return stored(full.mapInArrow(_verify(width, percent), "u long, v long"), f"links-{name}")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashindex import HashIndex, Tally
-from .scratch import stored
+from .scratch import intermediate, lasting, stored
 from .textarrays import Texts, chunks
 
 ORDER = 5
@@ -218,8 +218,9 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, sl
     rows = docs.select("doc_id", "text", "lang")
     part = fold(F.col("doc_id"), calibration_parts)
     # the ids grow with the corpus, so they are never broadcast: the plan is the same at every size
-    model = train(rows.where(part != 0).join(trusted_ids.where(part != 0).hint("shuffle_hash"), "doc_id", "left_semi"))
-    scored = stored(perplexity(rows, model), "scored")
+    with intermediate(docs.sparkSession):
+        model = train(rows.where(part != 0).join(trusted_ids.where(part != 0).hint("shuffle_hash"), "doc_id", "left_semi"))
+        scored = lasting(perplexity(rows, model), "scored")
     marked = scored.join(trusted_ids.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     held = marked.where(F.col("trusted") & (part == 0) & F.col("perplexity").isNotNull())
     cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)).alias("cut")

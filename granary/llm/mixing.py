@@ -61,9 +61,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most_copies: int =
     go by doc_id, nulls first; rows equal in all three are interchangeable. The number of sources is that
     of a mixture's configuration: one row of each comes to the driver. Reruns agree.
     """
+    return _decide(docs, weights, most_copies, seed).drop("h")
+
+
+def _decide(docs: DataFrame, weights: Sequence[int], most_copies: int, seed: int) -> DataFrame:
+    """The columns of mix(), and h, a hash of the text, which breaks ties of id and size."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    placed = rows.repartitionByRange(F.col("source").asc_nulls_last(), "size", F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("source").asc_nulls_last(), "size", F.col("doc_id").asc_nulls_first())
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_first(), F.col("h")]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = stored(placed.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "placed")
 
     ranges = placed.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.sum("size").alias("words"))
@@ -81,21 +87,25 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most_copies: int =
     per = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor((rank + 1) * per + F.col("u")) - F.floor(rank * per + F.col("u"))
     copies = F.least(F.greatest(crossed, F.floor(per)), F.ceil(per)).cast("long")
-    out = joined.select("p.doc_id", "p.source", "p.size", "source_size", "target", copies.alias("copies"))
+    out = joined.select("p.doc_id", "p.source", "p.size", "p.h", "source_size", "target", copies.alias("copies"))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most_copies: int = 3, seed: int = 11) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, once for each copy, with copy_no from 1.
+    """The rows of ``docs`` that the mix takes, once for each copy, with copy_no from 1 (a clashing one is replaced).
 
-    Rows and decisions meet by id and by their place among the rows of that id, so repeated ids work.
+    Rows and decisions meet by a hash of id, source, size and text, which deals out ids that are null or
+    repeated; rows equal in all four are interchangeable and meet by their number.
     """
-    key = Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size_")
-    own = docs.withColumn("size_", word_count(F.col("text"))).withColumn("nth_", F.row_number().over(key))
-    taken = mix(docs, weights, most_copies, seed).select("doc_id", "source", F.col("size").alias("size_"), "copies").withColumn("nth_", F.row_number().over(key))
-    taken = taken.where("copies > 0").select(F.col("doc_id").alias("id_"), F.col("nth_").alias("n_"), "copies")
-    both = own.join(taken, own["doc_id"].eqNullSafe(taken["id_"]) & (own["nth_"] == taken["n_"]))
-    return both.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns, "copy_no")
+    key = F.xxhash64("doc_id", "source", "size", "h").alias("key")
+    numbered = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    own = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h"), F.struct(*docs.columns).alias("row"))
+    own = numbered(own.select(key, "row")).alias("a")
+    taken = numbered(_decide(docs, weights, most_copies, seed).where("copies > 0").select(key, "copies")).alias("b")
+    # one equality only: both sides are already dealt by the key, so the texts move once
+    both = own.join(taken.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.nth") - F.col("b.nth") == 0))
+    copies = F.explode(F.sequence(F.lit(1), F.col("b.copies").cast("int"))).alias("copy_no")
+    return both.select("a.row", copies).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "copy_no"), "copy_no")
 
 
 SQL = r"""

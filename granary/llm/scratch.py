@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +40,32 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it, so that later plans start there."""
+    return _write(df, name, _OPEN[-1] if _OPEN else None)
+
+
+def lasting(df: DataFrame, name: str) -> DataFrame:
+    """As ``stored``, for what an operator returns: it outlives the ``intermediate`` block around it."""
+    return _write(df, name, _OPEN[-2] if len(_OPEN) > 1 else None)
+
+
+def _write(df: DataFrame, name: str, owner: list[str] | None) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if owner is not None:
+        owner.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def intermediate(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside go at the end; what leaves the block must be ``lasting``."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _remove(spark, path)

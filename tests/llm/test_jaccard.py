@@ -77,6 +77,14 @@ def test_large_group_of_near_copies(spark):
     assert result(joined(df)) == brute(rows)
 
 
+def test_one_id_for_several_texts(spark):
+    """Rows of one id are rows of their own: each text links for itself."""
+    a, b = prose(1, 80), prose(2, 80).split()
+    rows = [(3, a), (7, a), (7, " ".join(b)), (9, " ".join([*b[:-1], "end"])), (7, a), (9, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(joined(df)) == brute(rows)
+
+
 def test_odd_rows(spark, odd_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert result(joined(clash(odd_docs, "n_shingles", "component_id", "cid", "token"))) == brute(rows)

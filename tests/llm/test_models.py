@@ -103,8 +103,9 @@ def test_mix(spark, some_docs, odd_docs):
         assert own[0].source_size == sum(r.size for r in own)
         assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * max(r.size for r in own) + 1
         assert all(r.taken <= 3 * r.size for r in own)
-    texts = mixing.mixed_documents(docs)
-    assert texts.count() == sum(r.copies for r in got) and texts.columns == [*docs.columns, "copy_no"]
+    odd = clash(docs, "copies", "size", "nth", "row", "target")
+    texts = mixing.mixed_documents(odd)
+    assert texts.count() == sum(r.copies for r in got) and texts.columns == [*odd.columns, "copy_no"]
 
 
 def test_mix_empty(no_docs):
