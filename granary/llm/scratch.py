@@ -8,6 +8,7 @@ absent (tests, a laptop) a temporary folder of this machine takes its place.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +55,9 @@ def _write(df: DataFrame, name: str, owner: list[str] | None) -> DataFrame:
     if owner is not None:
         owner.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    # Spark drops the shuffle files of a finished phase once the driver's garbage is collected
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
