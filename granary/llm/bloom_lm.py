@@ -1,16 +1,17 @@
-"""Language-model scores from a Bloom filter that holds quantised n-gram counts.
-
-A bigram of count c is stored as the keys (bigram, 1) ... (bigram, q), q = 1 + floor(log_b(c / least)).
-Reading a count back means probing those keys one after the other until one is missing; the number of
-hits gives c up to the base of the logarithm. The filter also holds, in the same way, the counts of
-vocabulary words and the number of distinct words that follow each. Probabilities are smoothed after
-Witten and Bell: (c(hw) + t(h) p(w)) / (c(h) + t(h)), with all three counts from probes.
-
-What workers receive is bounded at every size of the corpus: the vocabulary by its number of words, the
-filter because a bigram enters only when it makes up at least ``least_share`` of all training tokens,
-so at most 1 / least_share do. All counts behind it are exact and over the whole training text. The
-add-0.1 unigram score beside the model uses exact counts: of the most frequent words by a bounded
-broadcast table, of all other words by a shuffled join.
+"""Language-model scores from a Bloom filter that holds quantised bigram counts.
+
+A bigram of count c is stored as the keys (bigram, 1) ... (bigram, q), q = 1 + floor(log_b(c)). Reading
+a count back means probing those keys one after the other until one is missing; the number of hits gives
+c up to the base of the logarithm. Probabilities are smoothed after Witten and Bell:
+(c(hw) + t(h) p(w)) / (c(h) + t(h)), t(h) the number of distinct words that follow h, p(w) the add-delta
+share of w. In logarithms that is a sum of three parts: log p(w), the weight t(h) / (c(h) + t(h)) of the
+context, and a gain log(1 + c(hw) / (t(h) p(w))) for a bigram of the training text.
+
+Every training word has its own counts, and every bigram is in the filter, which grows with the input
+and is never in one place: keys and probes are dealt out by bigram, and each task fills the filter of its
+share and probes it. What workers receive is bounded at every size: figures of the most frequent words
+and levels of the most frequent bigrams, which save shuffling and change nothing else, as all other words
+are looked up by shuffled joins and all other bigrams in the shares.
 """
 
 from __future__ import annotations
@@ -28,21 +29,25 @@ from .scratch import intermediate, lasting, stored
 from .textarrays import Texts, chunks, mix
 
 _END = np.uint64(0x1D8E4E27C47D124F)  # the token at the end of each text
-_BIGRAM, _WORD, _FOLLOWERS = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC3A5C85C97CB3127))
-_ID_BITS = np.uint64(20)
+_BEGIN = np.uint64(0xA24BAED4963EE407)  # the context of a text's first token
+_TOP = np.uint64(48)
 
 
 @dataclass(frozen=True)
 class Config:
-    #: words with exact counts in the broadcast table, 16 bytes each
+    #: words with exact figures in the broadcast table, some 40 bytes each; others are joined
     table_words: int = 1 << 18
-    #: words that the model tells apart (the most frequent); all others are one class
-    model_words: int = 1 << 16
+    #: bigrams in the broadcast table, some 20 bytes each; others are probed in the shares
+    table_bigrams: int = 1 << 21
+    #: without effect: the model tells all words apart
+    model_words: int | None = None
     #: share of all training tokens that a bigram needs to enter the filter
     least_share: float = 2.0**-24
     base: float = 1.5
     bits_per_key: int = 14
     delta: float = 0.1
+    #: bigrams of one share of the filter
+    share_entries: int = 1 << 19
 
 
 def _tokens(column: pa.Array):
@@ -69,19 +74,44 @@ def _tally(keys_of):
     return run
 
 
-class _Ids:
-    """Model ids by token hash: 0 .. n-1 by frequency, n for all other words, n + 1 before a text."""
+def _contexts(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The token before each one."""
+    before = np.concatenate(([_BEGIN], tokens[:-1]))
+    before[np.concatenate(([True], doc[1:] != doc[:-1]))] = _BEGIN
+    return before
 
-    def __init__(self, hashes: np.ndarray):
-        self.index, self.n = HashIndex(hashes), len(hashes)
 
-    def pairs(self, tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Packed (previous id, id) of every token."""
-        ids = self.index.find(tokens).astype(np.int64)
-        ids[ids < 0] = self.n
-        before = np.concatenate(([self.n + 1], ids[:-1]))
-        before[np.concatenate(([True], doc[1:] != doc[:-1]))] = self.n + 1
-        return (before.astype(np.uint64) << _ID_BITS) | ids.astype(np.uint64)
+def _bigrams(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Keys of bigrams: 16 bits of the context's hash, so that sorted keys bring a context together, and 48 of both."""
+    return (before >> _TOP << _TOP) | (mix(mix(before) + tokens) >> np.uint64(16))
+
+
+def _pairs(batches):
+    """(bigram, context, count), merged within some two million bigrams."""
+    parts, size = [], 0
+
+    def merged():
+        b, h, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.argsort(b, kind="stable")
+        b = b[order]
+        first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+        return b[first], h[order][first], np.add.reduceat(c[order], first)
+
+    row = lambda part: pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1].view(np.int64)), pa.array(part[2])], ["b", "h", "c"])
+    for batch in batches:
+        for _, tokens, doc in _tokens(batch.column(0)):
+            before = _contexts(tokens, doc)
+            b, at, c = np.unique(_bigrams(before, tokens), return_index=True, return_counts=True)
+            parts.append((b, before[at], c))
+            size += len(b)
+            if size > 1 << 21:
+                parts = [merged()]
+                size = len(parts[0][0])
+                if size > 1 << 20:
+                    yield row(parts[0])
+                    parts, size = [], 0
+    if parts:
+        yield row(merged())
 
 
 class BloomCounts:
@@ -109,54 +139,26 @@ class BloomCounts:
             live = live[(self.words[at] & bits) == bits]
             level[live] = k
             k += 1
-        low = least * self.base ** (level - 1)
-        return np.where(level > 0, np.maximum(low * (1 + self.base) / 2, least), 0.0)
+        return middle(level, least, self.base)
 
 
-def levels(count: Column, least: float, base: float) -> Column:
-    return (1 + F.floor(F.log(F.greatest(count / F.lit(float(least)), F.lit(1.0))) / float(np.log(base)) + 1e-9)).cast("int")
-
+def middle(level: np.ndarray, least: float, base: float) -> np.ndarray:
+    """The count that a level stands for."""
+    return np.where(level > 0, np.maximum(least * base ** (level - 1.0) * (1 + base) / 2, least), 0.0)
 
-def _places(shift: int, piece_words: int):
-    """(piece, at, bits) of every key of rows (kind, id, q), those of a batch put together."""
-
-    def run(batches):
-        for batch in batches:
-            kind, ident, q = (batch.column(i).to_numpy() for i in range(3))
-            keys = mix(ident.view(np.uint64) + _SALTS[kind])
-            for k in range(1, int(q.max(initial=0)) + 1):
-                at, bits = BloomCounts.places(keys[q >= k], k, np.uint64(shift))
-                yield pa.RecordBatch.from_arrays([pa.array((at // piece_words).astype(np.int32)), pa.array((at % piece_words).astype(np.int32)), pa.array(bits.view(np.int64))], ["piece", "at", "bits"])
-
-    return run
-
-
-def _pieces(piece_words: int):
-    def run(batches):
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            piece, at, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
-            for p in np.unique(piece).tolist():
-                np.bitwise_or.at(parts.setdefault(p, np.zeros(piece_words, np.uint64)), at[piece == p], bits[piece == p])
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([p.tobytes() for p in parts.values()], pa.binary())], ["piece", "words"])
-
-    return run
 
+def levels(count: Column, least: float, base: float) -> Column:
+    return (1 + F.floor(F.log(F.greatest(count / F.lit(float(least)), F.lit(1.0))) / float(np.log(base)) + 1e-9)).cast("int")
 
-def build_filter(entries: DataFrame, config: Config) -> BloomCounts:
-    """The filter of ``entries`` (kind, id, q). Its size follows their number, which the shares bound.
 
-    Each task sets the bits of the pieces that it owns; the driver only lays finished pieces together.
-    """
-    keys = entries.agg(F.sum("q")).first()[0] or 0
-    n_words = 1 << max(10, int(keys * config.bits_per_key // 64).bit_length())
-    piece_words = max(1 << 10, n_words >> 8)
-    words = np.zeros(n_words, dtype=np.uint64)
-    rows = entries.mapInArrow(_places(64 - (n_words - 1).bit_length(), piece_words), "piece int, at int, bits long")
-    pieces = rows.repartition("piece").mapInArrow(_pieces(piece_words), "piece int, words binary").toArrow()
-    for p, data in zip(pieces.column(0).to_pylist(), pieces.column(1), strict=True):
-        words[p * piece_words : (p + 1) * piece_words] = np.frombuffer(data.as_buffer(), dtype=np.uint64)
-    return BloomCounts(words, config.base)
+def filled(keys: np.ndarray, q: np.ndarray, config: Config) -> BloomCounts:
+    """The filter of ``keys`` with q levels each."""
+    n_words = 1 << max(4, (int(q.sum()) * config.bits_per_key // 64).bit_length())
+    out = BloomCounts(np.zeros(n_words, dtype=np.uint64), config.base)
+    for k in range(1, int(q.max(initial=0)) + 1):
+        at, bits = out.places(keys[q >= k], k, out.shift)
+        np.bitwise_or.at(out.words, at, bits)
+    return out
 
 
 def frequent(vocab: DataFrame, limit: int) -> DataFrame:
@@ -178,82 +180,124 @@ class Model:
     config: Config
     tokens: int  # N
     types: int  # V
-    least: float
-    table: HashIndex
-    table_counts: np.ndarray
-    ids: _Ids
-    counts: BloomCounts
-
-    def per_id(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Read from the filter, once in each worker: count, followers and unigram share of every id."""
-        if not hasattr(self, "_per_id"):
-            ident = np.arange(self.ids.n + 2, dtype=np.uint64)
-            c = self.counts.count(mix(ident + _SALTS[1]), 1)
-            t = self.counts.count(mix(ident + _SALTS[2]), 1)
-            p = (c + self.config.delta) / (c[: self.ids.n + 1].sum() + self.config.delta * (self.ids.n + 1))
-            p[self.ids.n] /= max(1, self.types - self.ids.n)  # one word among all others
-            self._per_id = c, t, p
-        return self._per_id
-
-    def log10_p(self, tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        pairs = self.ids.pairs(tokens, doc)
-        h, w = (pairs >> _ID_BITS).astype(np.int64), (pairs & np.uint64((1 << 20) - 1)).astype(np.int64)
-        c, t, p = self.per_id()
-        both = np.minimum(self.counts.count(mix(pairs + _SALTS[0]), self.least), c[h])
-        both = np.where(w == self.ids.n, both / max(1, self.types - self.ids.n), both)
-        return np.log10(np.where(c[h] > 0, (both + t[h] * p[w]) / np.maximum(c[h] + t[h], 1e-9), p[w]))
-
-
-_SALTS = np.array([_BIGRAM, _WORD, _FOLLOWERS], dtype=np.uint64)
-
-
-def train(training: DataFrame, config: Config | None = None) -> tuple[Model, DataFrame]:
-    """The model of ``training`` (text) and its vocabulary (h, c) with exact counts."""
+    words: HashIndex
+    counts: np.ndarray  # of each word: as a word, as a context, distinct followers
+    as_context: np.ndarray
+    followers: np.ndarray
+    bigrams: HashIndex
+    bigram_counts: np.ndarray
+
+    @property
+    def mass(self) -> float:
+        return self.tokens + self.config.delta * (self.types + 1)
+
+
+def train(training: DataFrame, config: Config | None = None) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of ``training`` (text), the exact figures (h, c, n, t) of all words and the levels (b, q) of all bigrams.
+
+    c counts the word h, n the tokens after it, t the distinct ones; a text's begin has a row as well.
+    """
     config = config or Config()
     texts = training.select("text")
     vocab = stored(texts.mapInArrow(_tally(lambda tokens, doc: tokens), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocab")
     n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    known = frequent(vocab, config.table_words).toPandas().sort_values(["c", "h"], ascending=[False, True])
-    ids = _Ids(known["h"].to_numpy()[: config.model_words].view(np.uint64))
-    sent = training.sparkSession.sparkContext.broadcast(ids)
-    pairs = stored(texts.mapInArrow(_tally(lambda tokens, doc: sent.value.pairs(tokens, doc)), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "pairs")
-    least = max(1.0, n * config.least_share)
-    before, word = F.shiftright("h", 20), F.col("h").bitwiseAND(F.lit((1 << 20) - 1))
-    entry = lambda kind, ident, count, low: (F.lit(kind).alias("kind"), ident.alias("id"), levels(count, low, config.base).alias("q"))
-    entries = pairs.where(F.col("c") >= least).select(*entry(0, F.col("h"), F.col("c"), least))
-    followers = pairs.groupBy(before.alias("id")).agg(F.count("*").alias("t"), F.sum("c").alias("c"))
-    entries = entries.unionByName(followers.select(*entry(2, F.col("id"), F.col("t"), 1)))
-    entries = entries.unionByName(followers.where(F.col("id") == ids.n + 1).select(*entry(1, F.col("id"), F.col("c"), 1)))
-    entries = entries.unionByName(pairs.groupBy(word.alias("id")).agg(F.sum("c").alias("c")).select(*entry(1, F.col("id"), F.col("c"), 1)))
-    counts = build_filter(stored(entries, "entries"), config)
-    table = HashIndex(known["h"].to_numpy().view(np.uint64))
-    return Model(config, n, v, least, table, known["c"].to_numpy().astype(np.float64), ids, counts), vocab
+    with intermediate(training.sparkSession):
+        pairs = stored(texts.mapInArrow(_pairs, "b long, h long, c long").groupBy("b").agg(F.first("h").alias("h"), F.sum("c").alias("c")), "pairs")
+        none = F.lit(0).cast("long")
+        after = pairs.groupBy("h").agg(F.sum("c").alias("n"), F.count("*").alias("t")).select("h", none.alias("c"), "n", "t")
+        figures = vocab.select("h", "c", none.alias("n"), none.alias("t")).unionByName(after).groupBy("h").agg(*(F.sum(x).alias(x) for x in ("c", "n", "t")))
+        figures = lasting(figures.select("h", F.greatest("c", "n").alias("c"), "n", "t"), "figures")
+        least = max(1.0, n * config.least_share)
+        levelled = pairs.where(F.col("c") >= least).select("b", "c", levels(F.col("c"), 1, config.base).alias("q"))
+        usual = frequent(levelled, config.table_bigrams).select("b", "q").toArrow()
+        entries = lasting(levelled.select("b", "q"), "entries")
+    begin = F.lit(int(_BEGIN.view(np.int64)))
+    known = frequent(figures.where(F.col("h") != begin), config.table_words).unionByName(figures.where(F.col("h") == begin)).toArrow()
+    h, c, after, t = (known.column(x).to_numpy() for x in ("h", "c", "n", "t"))
+    bigram_counts = middle(usual.column("q").to_numpy(), 1, config.base).astype(np.float32)
+    words, bigrams = HashIndex(h.view(np.uint64)), HashIndex(usual.column("b").to_numpy().view(np.uint64))
+    return Model(config, n, v, words, *(x.astype(np.float64) for x in (c, after, t)), bigrams, bigram_counts), figures, entries
+
+
+def _lists(parts: list[tuple[np.ndarray, ...]], ends: list[np.ndarray], names: tuple[str, ...], types: tuple) -> pa.Array:
+    """Lists of structs, one for each text."""
+    flat = [np.concatenate([np.zeros(0, t), *(p[i] for p in parts)]).astype(t, copy=False) for i, t in enumerate(types)]
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([np.zeros(0, np.int64), *ends]))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], list(names)))
+
+
+_PROBES = ("b", "tp", "most"), (np.int64, np.float32, np.float32)
+_MIXED = ("h", "w", "b", "n", "t", "c"), (np.int64, np.int64, np.int64, np.float32, np.float32, np.float32)
 
 
 def _score(sent):
     def run(batches):
         model = sent.value
+        delta = model.config.delta
+        start = int(model.words.find(np.array([_BEGIN]))[0])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weight = np.where(model.as_context > 0, np.log10(model.followers / (model.as_context + model.followers)), 0.0)
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             names = batch.schema.names
             column = batch.column(names.index("text"))
-            out = {k: np.zeros(len(batch), t) for k, t in (("n_tokens", np.int64), ("n_known", np.int64), ("base", np.float64), ("score", np.float64))}
-            rare, ends = [], [np.zeros(1, np.int64)]
+            out = {k: np.zeros(len(batch), t) for k, t in (("n_tokens", np.int64), ("n_known", np.int64), ("base", np.float64), ("more", np.float64))}
+            rare, probes, mixed = ([], []), ([], []), ([], [])
             for lo, tokens, doc in _tokens(column):
                 n = int(doc[-1]) + 1
-                at = model.table.find(tokens)
-                hit = at >= 0
+                per = lambda pick, x=None: np.bincount(doc[pick], x, n)  # noqa: E731, B023
+                at = model.words.find(tokens).astype(np.int64)
+                before = _contexts(tokens, doc)
+                h = np.concatenate(([start], at[:-1]))
+                h[before == _BEGIN] = start
+                word, context = at >= 0, h >= 0
                 out["n_tokens"][lo : lo + n] = np.bincount(doc, minlength=n)
-                out["n_known"][lo : lo + n] = np.bincount(doc[hit], minlength=n)
-                out["base"][lo : lo + n] = np.bincount(doc[hit], np.log10(model.table_counts[at[hit]] + model.config.delta), n)
-                out["score"][lo : lo + n] = np.bincount(doc, model.log10_p(tokens, doc), n)
-                rare.append(tokens[~hit].view(np.int64))
-                ends.append(ends[-1][-1] + np.cumsum(np.bincount(doc[~hit], minlength=n)))
+                out["n_known"][lo : lo + n] = per(word).astype(np.int64)
+                out["base"][lo : lo + n] = per(word, np.log10(model.counts[at[word]] + delta))
+                out["more"][lo : lo + n] = per(context, weight[h[context]])
+                b = _bigrams(before, tokens)
+                both = np.flatnonzero(word & context)
+                most, tp = model.as_context[h[both]], model.followers[h[both]] * (model.counts[at[both]] + delta) / model.mass
+                found = model.bigrams.find(b[both])
+                hit = found >= 0
+                out["more"][lo : lo + n] += per(both[hit], np.log10(1 + np.minimum(model.bigram_counts[found[hit]], most[hit]) / tp[hit]))
+                left = both[~hit]
+                probes[0].append((b[left].view(np.int64), tp[~hit], most[~hit]))
+                probes[1].append(per(left).astype(np.int64))
+                some = np.flatnonzero(~(word & context))
+                figure = lambda x, i: np.where(i[some] >= 0, x[i[some]] if len(x) else -1.0, -1.0)  # noqa: E731, B023
+                mixed[0].append((before[some].view(np.int64), tokens[some].view(np.int64), b[some].view(np.int64), figure(model.as_context, h), figure(model.followers, h), figure(model.counts, at)))
+                mixed[1].append(per(some).astype(np.int64))
+                rare[0].append((tokens[~word].view(np.int64),))
+                rare[1].append(per(~word).astype(np.int64))
             rid = pa.array((task << 40) + row + np.arange(len(batch)))
             row += len(batch)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rare])))
+            lists = {"rare": _lists(*rare, ("h",), (np.int64,)), "probes": _lists(*probes, *_PROBES), "mixed": _lists(*mixed, *_MIXED)}
             keep = [(c, x) for c, x in zip(names, batch.columns, strict=True) if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(x for _, x in keep), *map(pa.array, out.values()), rid, lists], [*(c for c, _ in keep), *out, "rid", "rare"])
+            yield pa.RecordBatch.from_arrays([*(x for _, x in keep), *map(pa.array, out.values()), rid, *lists.values()], [*(c for c, _ in keep), *out, "rid", *lists])
+
+    return run
+
+
+def _probe(config: Config):
+    """(rid, more) from rows (b, rid, tp, most) of one share: first its bigrams, with -q for rid, then probes by rid."""
+
+    def run(batches):
+        keys, q, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], None
+        for batch in batches:
+            b, rid, tp, most = (batch.column(i).to_numpy() for i in range(4))
+            n = int(np.searchsorted(rid, 0))
+            keys.append(b[:n].view(np.uint64))
+            q.append(-rid[:n])
+            if n == len(rid):
+                continue
+            if counts is None:
+                counts = filled(np.concatenate(keys), np.concatenate(q), config)
+                keys, q = [], []
+            gain = np.log10(1 + np.minimum(counts.count(b[n:].view(np.uint64), 1), most[n:]) / tp[n:].astype(np.float64))
+            rid = rid[n:]
+            first = np.flatnonzero(np.concatenate(([True], rid[1:] != rid[:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(rid[first]), pa.array(np.add.reduceat(gain, first))], ["rid", "gain"])
 
     return run
 
@@ -267,27 +311,50 @@ def score(docs: DataFrame, training: DataFrame, config: Config | None = None) ->
     probabilities. Without training rows N = V = 0 and nothing is known. Rows stay as they are, repeated
     ones too; clashing columns are replaced.
     """
-    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "base", "rid", "rare")
+    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "base", "more", "rid", "rare", "probes", "mixed")
     docs = docs.drop(*new)
     with intermediate(docs.sparkSession):
         return lasting(_scored(docs, *train(training, config)), "scores")
 
 
-def _scored(docs: DataFrame, model: Model, vocab: DataFrame) -> DataFrame:
+def _gains(rows: DataFrame, model: Model, figures: DataFrame, entries: DataFrame) -> DataFrame:
+    """(rid, gain): of all bigrams outside the broadcast table, in parts."""
+    config = model.config
+    # only words outside the table are joined, whose counts are bounded
+    mixed = rows.select("rid", F.inline("mixed"))
+    of = lambda x: figures.select(F.col("h").alias(x), *(F.col(k).cast("float").alias(f"{k}_") for k in ("c", "n", "t")))
+    found = mixed.where("n < 0").join(of("h"), "h").where("n_ > 0").select("rid", "w", "b", F.col("n_").alias("n"), F.col("t_").alias("t"), "c")
+    found = found.unionByName(mixed.where("n >= 0").select("rid", "w", "b", "n", "t", "c"))
+    full = found.where("c < 0").join(of("w"), "w").select("rid", "b", "n", "t", F.col("c_").alias("c"))
+    full = full.unionByName(found.where("c >= 0").select("rid", "b", "n", "t", "c"))
+    probes = rows.select("rid", F.inline("probes")).select("b", "rid", "tp", "most")
+    probes = probes.unionByName(full.select("b", "rid", (F.col("t") * (F.col("c") + config.delta) / model.mass).cast("float").alias("tp"), F.col("n").alias("most")))
+    zero = F.lit(0).cast("float")
+    shares = max(rows.sparkSession.sparkContext.defaultParallelism, 1 + entries.count() // config.share_entries)
+    dealt = entries.select("b", (-F.col("q")).cast("long").alias("rid"), zero.alias("tp"), zero.alias("most")).unionByName(probes)
+    return dealt.repartition(shares, "b").sortWithinPartitions("rid").mapInArrow(_probe(config), "rid long, gain double")
+
+
+def _scored(docs: DataFrame, model: Model, figures: DataFrame, entries: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "n_tokens long, n_known long, base double, score double, rid long, rare array<long>"])
+    lists = "rare array<struct<h:long>>, probes array<struct<b:long,tp:float,most:float>>, mixed array<struct<h:long,w:long,b:long,n:float,t:float,c:float>>"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "n_tokens long, n_known long, base double, more double, rid long", lists])
     rows = stored(docs.mapInArrow(_score(sent), schema), "scored")
     delta = model.config.delta
-    others = rows.select("rid", F.explode("rare").alias("h")).join(vocab, "h", "left")
-    others = others.groupBy("rid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + delta)).alias("more"), F.count("c").alias("seen"))
-    out = rows.drop("rare").join(others, "rid", "left")
-    norm = float(np.log10(model.tokens + delta * (model.types + 1)))
+    gains = stored(_gains(rows, model, figures, entries), "gains").select("rid", F.lit(0.0).alias("base_"), F.col("gain").alias("more_"), F.lit(0).alias("seen"))
+    others = rows.select("rid", F.inline("rare")).join(figures, "h", "left")
+    weight = F.when(F.col("n") > 0, F.log10(F.col("t") / (F.col("n") + F.col("t")))).otherwise(0.0)
+    others = others.select("rid", F.log10(F.coalesce("c", F.lit(0)) + delta).alias("base_"), weight.alias("more_"), F.col("c").isNotNull().cast("int").alias("seen"))
+    others = others.unionByName(gains).groupBy("rid").agg(*(F.sum(x).alias(x) for x in ("base_", "more_", "seen")))
+    out = rows.drop("rare", "probes", "mixed").join(others, "rid", "left")
+    norm = float(np.log10(model.mass))
     zero = F.lit(0)
+    base = F.col("base") + F.coalesce("base_", zero) - F.col("n_tokens") * norm
     return out.select(
         *[c for c in docs.columns if c != "text"],
         "n_tokens",
         (F.col("n_known") + F.coalesce("seen", zero)).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", zero) - F.col("n_tokens") * norm).alias("base_score"),
-        "score",
+        base.alias("base_score"),
+        (base + F.col("more") + F.coalesce("more_", zero)).alias("score"),
     )

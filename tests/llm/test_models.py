@@ -228,6 +228,40 @@ def test_lm_empty(no_docs, odd_docs):
     assert len(got) == len(ODD) and all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in got)
 
 
+def brute_lm(train, test, delta=0.1, base=1.5):
+    """Witten-Bell scores of ``test`` from all words and bigrams of ``train``, with counts to their level."""
+    tokens = lambda t: [*re.findall(WORD, low(t)), None]
+    words, pairs = Counter(), Counter()
+    for t in train:
+        ws = tokens(t)
+        words.update(ws)
+        pairs.update(zip(["begin", *ws], ws, strict=False))
+    ahead, follow = Counter(), Counter()
+    for (h, _), c in pairs.items():
+        ahead[h] += c
+        follow[h] += 1
+    level = lambda c: max(1.0, base ** int(math.log(c) / math.log(base) + 1e-9) * (1 + base) / 2) if c else 0.0
+    mass = sum(words.values()) + delta * (len(words) + 1)
+
+    def p(h, w):
+        low = (words[w] + delta) / mass
+        return (min(level(pairs[h, w]), ahead[h]) + follow[h] * low) / (ahead[h] + follow[h]) if ahead[h] else low
+
+    return [sum(math.log10(p(h, w)) for h, w in zip(["begin", *tokens(t)], tokens(t), strict=False)) for t in test]
+
+
+def test_lm_tells_all_words_apart(spark):
+    train = [prose(i, 150) for i in range(20)] + [f"begin{i} rare{i} word{i}" for i in range(300)] * 2
+    test = [prose(100, 80), *(f"begin{i} rare{i} word{i}" for i in range(0, 300, 10)), "begin1 word2 rare3", "never seen", ""]
+    expected = brute_lm(train, test)
+    docs = spark.createDataFrame(list(enumerate(test)), "doc_id long, text string")
+    texts = spark.createDataFrame([(t,) for t in train], "text string")
+    # few false hits: the filter is given room
+    for config in (bloom_lm.Config(bits_per_key=200), bloom_lm.Config(table_words=30, table_bigrams=50, model_words=20, bits_per_key=200, share_entries=500)):
+        got = {r.doc_id: r.score for r in bloom_lm.score(docs, texts, config).collect()}
+        assert [got[i] for i in range(len(test))] == pytest.approx(expected, abs=2e-3)
+
+
 # -- chat
 
 
