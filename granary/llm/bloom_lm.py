@@ -16,12 +16,12 @@ are looked up by shuffled joins and all other bigrams in the shares.
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashindex import HashIndex, Tally
@@ -41,13 +41,13 @@ class Config:
     table_bigrams: int = 1 << 21
     #: without effect: the model tells all words apart
     model_words: int | None = None
-    #: share of all training tokens that a bigram needs to enter the filter
-    least_share: float = 2.0**-24
     base: float = 1.5
     bits_per_key: int = 14
     delta: float = 0.1
     #: bigrams of one share of the filter
     share_entries: int = 1 << 19
+    #: rounds (a power of two), each for a part of all bigrams, which keep the shuffles of probes small on disk
+    rounds: int = 4
 
 
 def _tokens(column: pa.Array):
@@ -202,13 +202,15 @@ def train(training: DataFrame, config: Config | None = None) -> tuple[Model, Dat
     vocab = stored(texts.mapInArrow(_tally(lambda tokens, doc: tokens), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocab")
     n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     with intermediate(training.sparkSession):
-        pairs = stored(texts.mapInArrow(_pairs, "b long, h long, c long").groupBy("b").agg(F.first("h").alias("h"), F.sum("c").alias("c")), "pairs")
+        # tasks have merged their rows, so these are dealt out as they are; sorted, a context lies together
+        pairs = texts.mapInArrow(_pairs, "b long, h long, c long").repartition("b").groupBy("b").agg(F.first("h").alias("h"), F.sum("c").alias("c"))
+        pairs = stored(pairs.sortWithinPartitions("b"), "pairs")
+        release(training.sparkSession)
         none = F.lit(0).cast("long")
         after = pairs.groupBy("h").agg(F.sum("c").alias("n"), F.count("*").alias("t")).select("h", none.alias("c"), "n", "t")
         figures = vocab.select("h", "c", none.alias("n"), none.alias("t")).unionByName(after).groupBy("h").agg(*(F.sum(x).alias(x) for x in ("c", "n", "t")))
         figures = lasting(figures.select("h", F.greatest("c", "n").alias("c"), "n", "t"), "figures")
-        least = max(1.0, n * config.least_share)
-        levelled = pairs.where(F.col("c") >= least).select("b", "c", levels(F.col("c"), 1, config.base).alias("q"))
+        levelled = pairs.select("b", "c", levels(F.col("c"), 1, config.base).alias("q"))
         usual = frequent(levelled, config.table_bigrams).select("b", "q").toArrow()
         entries = lasting(levelled.select("b", "q"), "entries")
     begin = F.lit(int(_BEGIN.view(np.int64)))
@@ -226,55 +228,86 @@ def _lists(parts: list[tuple[np.ndarray, ...]], ends: list[np.ndarray], names: t
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], list(names)))
 
 
-_PROBES = ("b", "tp", "most"), (np.int64, np.float32, np.float32)
 _MIXED = ("h", "w", "b", "n", "t", "c"), (np.int64, np.int64, np.int64, np.float32, np.float32, np.float32)
 
 
+class _Chunk:
+    """The tokens of some texts, and where words and contexts stand in the model's table (-1: not there)."""
+
+    def __init__(self, model: Model, tokens: np.ndarray, doc: np.ndarray):
+        self.doc, self.n = doc, int(doc[-1]) + 1
+        self.at = model.words.find(tokens).astype(np.int64)
+        self.before = _contexts(tokens, doc)
+        start = int(model.words.find(np.array([_BEGIN]))[0])
+        self.h = np.concatenate(([start], self.at[:-1]))
+        self.h[self.before == _BEGIN] = start
+        self.b = _bigrams(self.before, tokens)
+        self.both = (self.at >= 0) & (self.h >= 0)
+
+    def figures(self, model: Model, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """t(h) p(w) and c(h) of tokens that are in the table with their contexts."""
+        return model.followers[self.h[pick]] * (model.counts[self.at[pick]] + model.config.delta) / model.mass, model.as_context[self.h[pick]]
+
+    def per(self, pick: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
+        """Sums of x by text."""
+        return np.bincount(self.doc[pick], x, self.n)
+
+
 def _score(sent):
     def run(batches):
         model = sent.value
         delta = model.config.delta
-        start = int(model.words.find(np.array([_BEGIN]))[0])
         with np.errstate(divide="ignore", invalid="ignore"):
             weight = np.where(model.as_context > 0, np.log10(model.followers / (model.as_context + model.followers)), 0.0)
-        task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             names = batch.schema.names
             column = batch.column(names.index("text"))
             out = {k: np.zeros(len(batch), t) for k, t in (("n_tokens", np.int64), ("n_known", np.int64), ("base", np.float64), ("more", np.float64))}
-            rare, probes, mixed = ([], []), ([], []), ([], [])
+            rare, mixed = ([], []), ([], [])
             for lo, tokens, doc in _tokens(column):
-                n = int(doc[-1]) + 1
-                per = lambda pick, x=None: np.bincount(doc[pick], x, n)  # noqa: E731, B023
-                at = model.words.find(tokens).astype(np.int64)
-                before = _contexts(tokens, doc)
-                h = np.concatenate(([start], at[:-1]))
-                h[before == _BEGIN] = start
-                word, context = at >= 0, h >= 0
-                out["n_tokens"][lo : lo + n] = np.bincount(doc, minlength=n)
-                out["n_known"][lo : lo + n] = per(word).astype(np.int64)
-                out["base"][lo : lo + n] = per(word, np.log10(model.counts[at[word]] + delta))
-                out["more"][lo : lo + n] = per(context, weight[h[context]])
-                b = _bigrams(before, tokens)
-                both = np.flatnonzero(word & context)
-                most, tp = model.as_context[h[both]], model.followers[h[both]] * (model.counts[at[both]] + delta) / model.mass
-                found = model.bigrams.find(b[both])
-                hit = found >= 0
-                out["more"][lo : lo + n] += per(both[hit], np.log10(1 + np.minimum(model.bigram_counts[found[hit]], most[hit]) / tp[hit]))
-                left = both[~hit]
-                probes[0].append((b[left].view(np.int64), tp[~hit], most[~hit]))
-                probes[1].append(per(left).astype(np.int64))
-                some = np.flatnonzero(~(word & context))
-                figure = lambda x, i: np.where(i[some] >= 0, x[i[some]] if len(x) else -1.0, -1.0)  # noqa: E731, B023
-                mixed[0].append((before[some].view(np.int64), tokens[some].view(np.int64), b[some].view(np.int64), figure(model.as_context, h), figure(model.followers, h), figure(model.counts, at)))
-                mixed[1].append(per(some).astype(np.int64))
+                x = _Chunk(model, tokens, doc)
+                rows, word, context = slice(lo, lo + x.n), x.at >= 0, x.h >= 0
+                out["n_tokens"][rows] = np.bincount(doc, minlength=x.n)
+                out["n_known"][rows] = x.per(word)
+                out["base"][rows] = x.per(word, np.log10(model.counts[x.at[word]] + delta))
+                out["more"][rows] = x.per(context, weight[x.h[context]])
+                found = model.bigrams.find(x.b)
+                hit = np.flatnonzero(x.both & (found >= 0))
+                tp, most = x.figures(model, hit)
+                out["more"][rows] += x.per(hit, np.log10(1 + np.minimum(model.bigram_counts[found[hit]], most) / tp))
+                some = np.flatnonzero(~x.both)
+                figure = lambda of, i: np.where(i[some] >= 0, of[i[some]] if len(of) else -1.0, -1.0)  # noqa: E731, B023
+                unknown = lambda keys, i: np.where(i[some] < 0, keys[some], np.uint64(0)).view(np.int64)  # noqa: E731, B023
+                mixed[0].append((unknown(x.before, x.h), unknown(tokens, x.at), x.b[some].view(np.int64), figure(model.as_context, x.h), figure(model.followers, x.h), figure(model.counts, x.at)))
+                mixed[1].append(x.per(some))
                 rare[0].append((tokens[~word].view(np.int64),))
-                rare[1].append(per(~word).astype(np.int64))
-            rid = pa.array((task << 40) + row + np.arange(len(batch)))
-            row += len(batch)
-            lists = {"rare": _lists(*rare, ("h",), (np.int64,)), "probes": _lists(*probes, *_PROBES), "mixed": _lists(*mixed, *_MIXED)}
-            keep = [(c, x) for c, x in zip(names, batch.columns, strict=True) if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(x for _, x in keep), *map(pa.array, out.values()), rid, *lists.values()], [*(c for c, _ in keep), *out, "rid", *lists])
+                rare[1].append(x.per(~word))
+            lists = {"rare": _lists(*rare, ("h",), (np.int64,)), "mixed": _lists(*mixed, *_MIXED)}
+            keep = [(c, y) for c, y in zip(names, batch.columns, strict=True) if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(y for _, y in keep), *map(pa.array, out.values()), *lists.values()], [*(c for c, _ in keep), *out, *lists])
+
+    return run
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of the table stored last, whose plan is no longer held."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _probes(sent, part: int):
+    """(b, rid, tp, most) of bigrams of known words outside the broadcast table, of one round."""
+
+    def run(batches):
+        model = sent.value
+        for batch in batches:
+            rid = batch.column(0).to_numpy()
+            for lo, tokens, doc in _tokens(batch.column(1)):
+                x = _Chunk(model, tokens, doc)
+                pick = np.flatnonzero(x.both & ((x.b & np.uint64(model.config.rounds - 1)) == part))
+                pick = pick[model.bigrams.find(x.b[pick]) < 0]
+                tp, most = x.figures(model, pick)
+                yield pa.RecordBatch.from_arrays([pa.array(x.b[pick].view(np.int64)), pa.array(rid[lo + doc[pick]]), pa.array(tp.astype(np.float32)), pa.array(most.astype(np.float32))], ["b", "rid", "tp", "most"])
 
     return run
 
@@ -311,42 +344,54 @@ def score(docs: DataFrame, training: DataFrame, config: Config | None = None) ->
     probabilities. Without training rows N = V = 0 and nothing is known. Rows stay as they are, repeated
     ones too; clashing columns are replaced.
     """
-    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "base", "more", "rid", "rare", "probes", "mixed")
+    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "base", "more", "rid", "rare", "mixed")
     docs = docs.drop(*new)
     with intermediate(docs.sparkSession):
         return lasting(_scored(docs, *train(training, config)), "scores")
 
 
-def _gains(rows: DataFrame, model: Model, figures: DataFrame, entries: DataFrame) -> DataFrame:
-    """(rid, gain): of all bigrams outside the broadcast table, in parts."""
-    config = model.config
-    # only words outside the table are joined, whose counts are bounded
+def _mixed_probes(rows: DataFrame, model: Model, figures: DataFrame) -> DataFrame:
+    """(b, rid, tp, most) of bigrams with a word outside the broadcast table: only such words are joined."""
     mixed = rows.select("rid", F.inline("mixed"))
     of = lambda x: figures.select(F.col("h").alias(x), *(F.col(k).cast("float").alias(f"{k}_") for k in ("c", "n", "t")))
-    found = mixed.where("n < 0").join(of("h"), "h").where("n_ > 0").select("rid", "w", "b", F.col("n_").alias("n"), F.col("t_").alias("t"), "c")
+    found = mixed.where("n < 0").drop("n", "t").join(of("h"), "h").where("n_ > 0").select("rid", "w", "b", F.col("n_").alias("n"), F.col("t_").alias("t"), "c")
     found = found.unionByName(mixed.where("n >= 0").select("rid", "w", "b", "n", "t", "c"))
-    full = found.where("c < 0").join(of("w"), "w").select("rid", "b", "n", "t", F.col("c_").alias("c"))
+    full = found.where("c < 0").drop("c").join(of("w"), "w").select("rid", "b", "n", "t", F.col("c_").alias("c"))
     full = full.unionByName(found.where("c >= 0").select("rid", "b", "n", "t", "c"))
-    probes = rows.select("rid", F.inline("probes")).select("b", "rid", "tp", "most")
-    probes = probes.unionByName(full.select("b", "rid", (F.col("t") * (F.col("c") + config.delta) / model.mass).cast("float").alias("tp"), F.col("n").alias("most")))
+    return full.select("b", "rid", (F.col("t") * (F.col("c") + model.config.delta) / model.mass).cast("float").alias("tp"), F.col("n").alias("most"))
+
+
+def _gains(numbered: DataFrame, sent, config: Config, mixed: DataFrame, entries: DataFrame) -> DataFrame:
+    """(rid, gain): of all bigrams outside the broadcast table, by round."""
+    out = None
+    n = entries.count() // config.rounds
+    shares = max(numbered.sparkSession.sparkContext.defaultParallelism, 1 + n // config.share_entries)
     zero = F.lit(0).cast("float")
-    shares = max(rows.sparkSession.sparkContext.defaultParallelism, 1 + entries.count() // config.share_entries)
-    dealt = entries.select("b", (-F.col("q")).cast("long").alias("rid"), zero.alias("tp"), zero.alias("most")).unionByName(probes)
-    return dealt.repartition(shares, "b").sortWithinPartitions("rid").mapInArrow(_probe(config), "rid long, gain double")
+    for part in range(config.rounds):
+        release(numbered.sparkSession)
+        own = F.col("b").bitwiseAND(F.lit(config.rounds - 1)) == part
+        dealt = entries.where(own).select("b", (-F.col("q")).cast("long").alias("rid"), zero.alias("tp"), zero.alias("most"))
+        dealt = dealt.unionByName(mixed.where(own)).unionByName(numbered.select("rid", "text").mapInArrow(_probes(sent, part), "b long, rid long, tp float, most float"))
+        found = dealt.repartition(shares, "b").sortWithinPartitions("rid").mapInArrow(_probe(config), "rid long, gain double")
+        found = stored(found.groupBy("rid").agg(F.sum("gain").alias("gain")), "gains")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _scored(docs: DataFrame, model: Model, figures: DataFrame, entries: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    lists = "rare array<struct<h:long>>, probes array<struct<b:long,tp:float,most:float>>, mixed array<struct<h:long,w:long,b:long,n:float,t:float,c:float>>"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "n_tokens long, n_known long, base double, more double, rid long", lists])
-    rows = stored(docs.mapInArrow(_score(sent), schema), "scored")
+    numbered = stored(docs.withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    lists = "rare array<struct<h:long>>, mixed array<struct<h:long,w:long,b:long,n:float,t:float,c:float>>"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema if f.name != "text"), "n_tokens long, n_known long, base double, more double", lists])
+    rows = stored(numbered.mapInArrow(_score(sent), schema), "scored")
+    mixed = stored(_mixed_probes(rows, model, figures), "mixed")
     delta = model.config.delta
-    gains = stored(_gains(rows, model, figures, entries), "gains").select("rid", F.lit(0.0).alias("base_"), F.col("gain").alias("more_"), F.lit(0).alias("seen"))
+    gains = _gains(numbered, sent, model.config, mixed, entries).select("rid", F.lit(0.0).alias("base_"), F.col("gain").alias("more_"), F.lit(0).alias("seen"))
     others = rows.select("rid", F.inline("rare")).join(figures, "h", "left")
     weight = F.when(F.col("n") > 0, F.log10(F.col("t") / (F.col("n") + F.col("t")))).otherwise(0.0)
     others = others.select("rid", F.log10(F.coalesce("c", F.lit(0)) + delta).alias("base_"), weight.alias("more_"), F.col("c").isNotNull().cast("int").alias("seen"))
     others = others.unionByName(gains).groupBy("rid").agg(*(F.sum(x).alias(x) for x in ("base_", "more_", "seen")))
-    out = rows.drop("rare", "probes", "mixed").join(others, "rid", "left")
+    out = rows.drop("rare", "mixed").join(others, "rid", "left")
     norm = float(np.log10(model.mass))
     zero = F.lit(0)
     base = F.col("base") + F.coalesce("base_", zero) - F.col("n_tokens") * norm

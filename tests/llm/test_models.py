@@ -262,6 +262,15 @@ def test_lm_tells_all_words_apart(spark):
         assert [got[i] for i in range(len(test))] == pytest.approx(expected, abs=2e-3)
 
 
+def test_lm_keeps_single_bigrams_of_large_input(spark):
+    """Over 2**24 training tokens a bigram of count 1 is still known."""
+    many = spark.range(0, 340, 1, 4).select(F.repeat(F.lit("a "), 50_000).alias("text"))
+    model, _, entries = bloom_lm.train(many.unionByName(spark.createDataFrame([("single words here",)], "text string")))
+    assert model.tokens > 1 << 24
+    # begin-a, a-a, a-end and begin-single, single-words, words-here, here-end
+    assert entries.count() == 7 and entries.where("q = 1").count() == 4
+
+
 # -- chat
 
 
