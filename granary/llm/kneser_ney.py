@@ -5,8 +5,9 @@ ones, three discounts an order from counts of counts, and the interpolated proba
 by Spark joins and aggregations. For scoring, the table is cut into shards by the byte before the one
 that is predicted: everything a position needs (its n-grams, its contexts, its shorter n-grams) lies in
 one shard, so each shard is broadcast in turn, joined with the positions it owns, and the partial sums
-add up to a document's log-probability. Thresholds are quantiles of trusted text that the model has not
-seen, language by language.
+add up to a document's log-probability. Thresholds are the median of trusted text that the model has not
+seen and a number of median deviations above it, language by language, so a few odd documents among the
+trusted ones do not move them.
 """
 
 from __future__ import annotations
@@ -204,13 +205,14 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, slack: float = 1.2, calibration_parts: int = 5, least_calibrated: int = 20) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, deviations: float = 6.0, calibration_parts: int = 5, least_calibrated: int = 20) -> DataFrame:
     """(doc_id, lang, trusted, log10_p, n_symbols, perplexity, threshold, kept), a row for each of ``docs``.
 
     ``docs`` has doc_id, text and lang; ``trusted_ids`` the doc_id of trusted documents, of which one in
     ``calibration_parts`` (by crc32 of the id) sets thresholds and the others train. A document is kept
-    when its perplexity is at most ``slack`` times the ``quantile`` of its language's calibration
-    documents (of all of them, for a null language and one with fewer than ``least_calibrated``). Null
+    when its perplexity is at most the median of its language's calibration documents and ``deviations``
+    times their median absolute deviation, 1.4826 of which are a standard deviation of normal values
+    (of all of them, for a null language and one with fewer than ``least_calibrated``). Null
     and empty texts are not kept; with no calibration at all everything else is. Clashing columns are
     ignored, repeated rows stay.
     """
@@ -223,9 +225,12 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, sl
         scored = lasting(perplexity(rows, model), "scored")
     marked = scored.join(trusted_ids.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     held = marked.where(F.col("trusted") & (part == 0) & F.col("perplexity").isNotNull())
-    cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)).alias("cut")
-    by_lang = held.where("lang is not null").groupBy("lang").agg(cut, F.count("*").alias("n")).where(F.col("n") >= least_calibrated).select("lang", "cut")
-    every = held.agg(cut).first()["cut"]
-    out = marked.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("cut", F.lit(every).cast("double"), F.lit(float("inf"))) * slack)
+    median = lambda x: F.percentile_approx(x, F.lit(0.5), F.lit(10000))
+    cut = (F.first("mid") + deviations * 1.4826 * median(F.abs(F.col("perplexity") - F.col("mid")))).alias("cut")
+    mids = held.where("lang is not null").groupBy("lang").agg(median("perplexity").alias("mid"), F.count("*").alias("n")).where(F.col("n") >= least_calibrated)
+    by_lang = held.join(F.broadcast(mids), "lang").groupBy("lang").agg(cut)
+    middle = held.agg(median("perplexity").alias("mid")).first()["mid"]
+    every = held.withColumn("mid", F.lit(middle).cast("double")).agg(cut).first()["cut"]
+    out = marked.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("cut", F.lit(every).cast("double"), F.lit(float("inf"))))
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
     return out.select("doc_id", "lang", "trusted", "log10_p", "n_symbols", "perplexity", "threshold", kept.alias("kept"))

@@ -182,6 +182,17 @@ def test_classifier(spark, some_docs, odd_docs, no_docs):
     assert len(kneser_ney.classify(odd_docs, trusted.limit(0)).collect()) == len(ODD)
 
 
+def test_odd_trusted_documents_do_not_let_junk_pass(spark, some_docs):
+    rows = [(i, prose(i, 120), "en", "s", 1) for i in range(300)]
+    odd = [i for i in range(300, 400) if zlib.crc32(str(i).encode()) % 5 == 0][:2]  # these calibrate
+    rows += [(i, "".join(chr(33 + (7 * i * k) % 90) for k in range(1, 300)), "en", "s", 1) for i in odd]
+    junk = ["zebra " * 100, "BUY now BUY " * 60, " | ".join(f"{37 * k % 101};{k}" for k in range(90)), "a b c d " * 60]
+    docs = spark.createDataFrame(rows + [(1000 + i, t, "en", "s", 1) for i, t in enumerate(junk)], some_docs.schema)
+    got = {r.doc_id: r for r in kneser_ney.classify(docs, docs.where("doc_id < 1000").select("doc_id")).collect()}
+    assert not any(got[1000 + i].kept for i in range(len(junk))) and not any(got[i].kept for i in odd)
+    assert sum(got[i].kept for i in range(300)) >= 290
+
+
 # -- Bloom language model
 
 
