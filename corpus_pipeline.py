@@ -31,18 +31,24 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked documents (five words, similarity 0.8) the one of the smallest id.
 
-    An id stays when one of its rows leads its group; of several rows of an id the first text by code
-    point stays. Rows of a null id stay.
+    Of several rows of that id in a group the first text by code point stays. Rows of one id in different
+    groups, rows that link with none and rows of a null id stay.
     """
-    found = jaccard.similarity_classes(docs, width=5, percent=80).where("doc_id is not null")
+    found = jaccard.similarity_classes(docs, width=5, percent=80, keys=True).where("doc_id is not null")
     ids = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id"))).alias("leads"), F.count("*").alias("n"))
     # as many ids as there are copies: shuffled at every size
-    gone = ids.where("not leads").select("doc_id").hint("shuffle_hash")
-    several = stored(ids.where("leads and n > 1").select("doc_id"), "several")
+    gone = ids.where("n = 1 and not leads").select("doc_id").hint("shuffle_hash")
+    several = stored(ids.where("n > 1").select("doc_id"), "several")
     out = docs.join(gone, "doc_id", "left_anti")
     if not several.isEmpty():
-        first = out.join(several, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*docs.columns))).alias("row")).select("row.*")
-        out = out.join(several, "doc_id", "left_anti").unionByName(first)
+        rows = jaccard.with_class_ids(out.join(several.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns), 5)
+        classes = found.select(F.col("doc_id").alias("id_"), "cid_", "root_", "component_id").join(several.select(F.col("doc_id").alias("id_")).hint("shuffle_hash"), "id_", "left_semi").distinct()
+        classes = classes.withColumnRenamed("cid_", "class_").withColumnRenamed("component_id", "least_")
+        rows = rows.join(classes.hint("shuffle_hash"), (F.col("doc_id") == F.col("id_")) & (F.col("cid_") == F.col("class_")))
+        row = F.struct(*docs.columns)
+        first = rows.where("root_ is not null and doc_id = least_").groupBy("root_").agg(F.min_by(row, F.struct("text", F.xxhash64(*docs.columns))).alias("row")).select("row.*")
+        alone = rows.where("root_ is null").select(*docs.columns)
+        out = out.join(several.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns).unionByName(first).unionByName(alone)
     return out.select(*docs.columns)
 
 

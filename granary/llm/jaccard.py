@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .scratch import intermediate, lasting, stored
 from .textarrays import SPACED, Texts, chunks, mix, sequence_hash
@@ -183,7 +184,20 @@ def _fits(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * room >= percent * (F.col(f"{a}_n") + F.col(f"{b}_n"))
 
 
-def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def with_class_ids(docs: DataFrame, width: int) -> DataFrame:
+    """``docs`` with cid_, which names the set of shingles; 0 without any."""
+
+    def run(batches):
+        for batch in batches:
+            cid = np.zeros(len(batch), np.int64)
+            for i, s in shingle_sets(batch.column(batch.schema.names.index("text")), width):
+                cid[i] = _class_id(s)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cid)], [*batch.schema.names, "cid_"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("cid_", LongType())]))
+
+
+def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, keys: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text, ...).
 
     Words are runs of other than ASCII white space after lower-casing A-Z; the set holds the distinct
@@ -191,12 +205,14 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     Jaccard similarity of ``percent`` hundredths; component_id is the smallest doc_id of those reachable.
     A null, empty or blank text has no shingles, links with nothing and is its own component, as is any
     row of a null doc_id that links with none. Repeated rows stay repeated. Other columns are ignored.
+    With ``keys`` rows also have cid_, which names the set, and root_, which names the component (null
+    without shingles): an id on several rows can belong to several.
     """
     with intermediate(docs.sparkSession):
-        return _similarity_classes(docs, width, percent)
+        return _similarity_classes(docs, width, percent, keys)
 
 
-def _similarity_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _similarity_classes(docs: DataFrame, width: int, percent: int, keys: bool) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     counted = texts.select("text").mapInArrow(_bucket_counts(width), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -242,9 +258,9 @@ def _similarity_classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     named = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(lowest, "root").select("cid", "component_id")
+    of_class = named.join(lowest, "root").select("cid", "component_id", *(["root"] if keys else []))
     out = sets.drop("tokens").join(of_class, "cid", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *([F.col("cid").alias("cid_"), F.col("root").alias("root_")] if keys else []))
     return lasting(out, "classes")
 
 

@@ -104,3 +104,15 @@ def test_pipeline_with_repeated_rows_and_no_rows(spark, odd_docs, no_docs, tmp_p
     spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "ngram_jaccard", "decontamination", "mixing"]
+
+
+def test_near_duplicates_are_decided_by_row(spark, tmp_path):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    near = a.split()
+    near[7] = "changed"
+    # 2: a near copy of 1, and a text of its own; 3: two texts and a repeated row; 4: blank rows
+    rows = [(1, a), (2, " ".join(near)), (2, b), (3, c), (3, c), (3, prose(4, 80)), (4, ""), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.remove_near_duplicates(spark, docs, str(tmp_path)).collect()
+    expected = [(1, a), (2, b), (3, c), (3, prose(4, 80)), (4, ""), (4, None)]
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted((i, t or "") for i, t in expected)
