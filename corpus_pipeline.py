@@ -6,6 +6,8 @@ return the columns of ``docs``. Between stages the documents are written as Parq
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from granary.llm.scratch import stored
 
 #: A document whose language stays in doubt goes.
 MIN_LANGUAGE_SCORE = 0.4
+#: All rules, but a long document is not dropped for its length.
+RULES = tuple(replace(r, high=None) if r.name == "length" else r for r in quality_rules.RULES)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that pass every rule."""
-    return quality_rules.apply_rules(docs).where("kept").select(*docs.columns)
+    """Keeps documents that pass every rule; length has no upper bound here."""
+    return quality_rules.apply_rules(docs, RULES).where("kept").select(*docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,3 +116,9 @@ def test_near_duplicates_are_decided_by_row(spark, tmp_path):
     got = corpus_pipeline.remove_near_duplicates(spark, docs, str(tmp_path)).collect()
     expected = [(1, a), (2, b), (3, c), (3, prose(4, 80)), (4, ""), (4, None)]
     assert sorted((r.doc_id, r.text or "") for r in got) == sorted((i, t or "") for i, t in expected)
+
+
+def test_very_long_clean_documents_stay(spark, tmp_path):
+    text = " ".join("the" if i % 5 == 0 else f"word{i}" for i in range(200_100))
+    docs = spark.createDataFrame([(1, text, "en", "s", 1), (2, "too short", "en", "s", 1)], SCHEMA)
+    assert [r.doc_id for r in corpus_pipeline.apply_quality_rules(spark, docs, str(tmp_path)).collect()] == [1]
