@@ -580,10 +580,10 @@ def did_means(spark, sf):
 
 @query()
 def claims_rollup(spark, sf):
-    panel = claims.simulate_claims_panel(spark, claims.PanelOptions(members=200))
+    panel = claims.simulate_claims_panel(spark, claims.PanelOptions())
     return claims.member_rollup(claims.enrolled_member_months(panel))
 
 
 @query()
 def claims_trend(spark, sf):
-    return claims.monthly_trend(claims.enrolled_member_months(claims.simulate_claims_panel(spark, claims.PanelOptions(members=200))))
+    return claims.monthly_trend(claims.enrolled_member_months(claims.simulate_claims_panel(spark, claims.PanelOptions())))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from granary.plans.catalogue import QUERIES, SQL
+from granary.sources import claims
 
 from .sqlcompare import DATA, compare, connect
 
@@ -45,3 +47,11 @@ def test_no_row_by_row_python(spark, name):
         return
     plan = QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan
+
+
+def test_claims_queries_run_over_the_default_panel(spark):
+    rows = claims.enrolled_member_months(claims.simulate_claims_panel(spark))
+    months = rows.count()
+    assert QUERIES["claims_rollup"](spark, str(DATA)).agg(F.sum("member_months")).first()[0] == months
+    assert QUERIES["claims_trend"](spark, str(DATA)).agg(F.sum("member_months")).first()[0] == months
+    assert QUERIES["claims_rollup"](spark, str(DATA)).count() > 1000
