@@ -7,10 +7,11 @@ share stay out of the prefixes. Two further orders, by independent hashes, must
 verified. Frequencies come from a table of ``ORDER_BUCKETS`` counters over the shingles of all
 documents; any numbers there give an order, so the table's fixed size costs speed only, never links.
 
-Copies cost nothing: documents of equal sets form one class and only classes meet. Within an index
-bucket each class first meets one pivot, the class in which the token stands furthest ahead; what
-remains are pairs of a bucket which pivots have not brought together, and those meet under the same
-filters. Components are found by alternating star contractions over verified links.
+Copies cost nothing: documents of equal sets form one class, only classes meet, and one row of a class
+carries its prefixes and its text, however often rows or ids repeat. Within an index bucket each class
+first meets one pivot; what remains are pairs of a bucket which pivots have not brought together, and
+those meet under the same filters. Components are found by alternating star contractions over verified
+links.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .scratch import intermediate, lasting, stored
+from .scratch import intermediate, lasting, measured, stored
 from .textarrays import SPACED, Texts, chunks, mix, sequence_hash
 
 #: Counters of the frequency order: 4 bytes each in the broadcast, at every size of the input.
@@ -57,34 +57,77 @@ def _bucket(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - 19)).astype(np.int64)
 
 
+_SLICES = 64
+
+
 def _bucket_counts(width: int):
+    """(slice, counts): the counters of a task, in slices that are added up apart."""
+
     def run(batches):
-        counts = np.zeros(ORDER_BUCKETS, dtype=np.int64)
+        counts = np.zeros(ORDER_BUCKETS, dtype=np.int32)
         for batch in batches:
             for _, s in shingle_sets(batch.column(0), width):
                 np.add.at(counts, _bucket(s), 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([x.tobytes() for x in counts.reshape(_SLICES, -1)], pa.binary())], ["slice", "counts"])
 
     return run
 
 
+def _added(batches):
+    """The sum of each slice's counters, at most 2**31 - 1."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[k] = total.get(k, 0) + np.frombuffer(x, dtype=np.int32).astype(np.int64)
+    cut = [np.minimum(x, np.iinfo(np.int32).max).astype(np.int32).tobytes() for x in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(cut, pa.binary())], ["slice", "counts"])
+
+
+def _frequencies(texts: DataFrame, width: int) -> np.ndarray:
+    """The counters over all ``texts`` (text): the same size at every size of the input."""
+    form = "slice int, counts binary"
+    counted = texts.select("text").mapInArrow(_bucket_counts(width), form).repartition(8, "slice").mapInArrow(_added, form)
+    out = np.zeros((_SLICES, ORDER_BUCKETS // _SLICES), dtype=np.int32)
+    for r in counted.collect():
+        out[r["slice"]] = np.frombuffer(r["counts"], dtype=np.int32)
+    return out.ravel()
+
+
 def _prefixes(width: int, percent: int, order):
+    """Of each row its set's size and name, and its prefixes: tokens of the first order, 32-bit keys of the others."""
+
     def run(batches):
         counts = order.value
         for batch in batches:
-            ids = batch.column(0)
-            n, cid, tokens, ends = [], [], [], [0]
-            for _, s in shingle_sets(batch.column(1), width):
+            n, cid, ends = [], [], [0]
+            cut: list[list[np.ndarray]] = [[], [], []]
+            for _, s in shingle_sets(batch.column(2), width):
                 keep = prefix_length(len(s), percent)
-                # the order: frequency, then the token itself
-                first = s[np.lexsort((s, counts[_bucket(s)]))[:keep]] if len(s) else s
+                # the first order: frequency, then the token itself
+                cut[0].append((s[np.lexsort((s, counts[_bucket(s)]))[:keep]] if len(s) else s).view(np.int64))
+                for k, by in enumerate(_FURTHER_ORDERS):
+                    cut[k + 1].append((_lowest(s, by, keep) >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 n.append(len(s))
                 cid.append(_class_id(s))
-                tokens.append(first.view(np.int64))
-                ends.append(ends[-1] + len(first))
-            flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "n_shingles", "cid", "tokens"])
+                ends.append(ends[-1] + keep)
+            ends = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, t), *x]))) for x, t in zip(cut, (np.int64, np.int32, np.int32), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), *lists], ["doc_id", "text_hash", "n_shingles", "cid", "tokens", "second", "third"])
+
+    return run
+
+
+def _once(key: str):
+    """Rows as they come, without those whose ``key`` has come before in this task."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            new = []
+            for k in batch.column(batch.schema.get_field_index(key)).to_pylist():
+                new.append(k not in seen)
+                seen.add(k)
+            yield batch.filter(pa.array(new, pa.bool_()))
 
     return run
 
@@ -103,27 +146,23 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return (100 + percent) * len(np.intersect1d(a, b, assume_unique=True)) >= percent * (len(a) + len(b))
 
 
-def _further_prefixes(width: int, percent: int):
-    """Of each class its prefixes under the further orders, as 32-bit keys (equal tokens have equal keys)."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            found = [(ids[i], s) for i, s in shingle_sets(batch.column(1), width) if _class_id(s) == ids[i]]
-            cut = lambda k: [(_lowest(s, _FURTHER_ORDERS[k], prefix_length(len(s), percent)) >> np.uint64(32)).astype(np.uint32).view(np.int32) for _, s in found]  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array(cut(0), pa.list_(pa.int32())), pa.array(cut(1), pa.list_(pa.int32()))], ["cid", "second", "third"])
-
-    return run
-
-
 def _verify(width: int, percent: int):
+    """Links (u, v) among rows (a, b, left, right); of a run of rows with one a, its text is cut once."""
+
     def run(batches):
+        last, held = None, None
         for batch in batches:
             a, b, left, right = (batch.column(i) for i in range(4))
             want_a, want_b = a.to_pylist(), b.to_pylist()
+            opens = [x != y for x, y in zip(want_a, [last, *want_a], strict=False)]
+            cuts = shingle_sets(left.filter(pa.array(opens, pa.bool_())), width)
             hit = []
-            for (i, s), (_, t) in zip(shingle_sets(left, width), shingle_sets(right, width), strict=True):
-                hit.append(_class_id(s) == want_a[i] and _class_id(t) == want_b[i] and linked(s, t, percent))
+            for i, t in shingle_sets(right, width):
+                if opens[i]:
+                    held = next(cuts)[1]
+                    held = held if _class_id(held) == want_a[i] else None
+                hit.append(held is not None and _class_id(t) == want_b[i] and linked(held, t, percent))
+            last = want_a[-1] if want_a else last
             keep = pa.array(hit, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["u", "v"])
 
@@ -136,11 +175,10 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate, each written to the shared folder, until the edges stay
     as they are. A hub's edges are reduced by a partial minimum before they are shuffled.
     """
-    edges = stored(_ordered(edges), "edges")
-    state = None
+    figures = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
+    edges, state = measured(_ordered(edges), "edges", *figures)
     while True:
-        edges = stored(_star_round(edges), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges, now = measured(_star_round(edges), "stars", *figures)
         if now == state:
             break
         state = now
@@ -165,17 +203,14 @@ def _roots(links: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, root) of every linked node, by the components of what ``labels`` (node, label) leave apart."""
     of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
     named = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v"))
-    apart = stored(_ordered(named), "apart")
     nodes = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
     labelled = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    if apart.isEmpty():
-        return labelled.withColumnRenamed("label", "root")
-    met = components(apart).select(F.col("node").alias("label"), "root")
+    met = components(named).select(F.col("node").alias("label"), "root")
     return labelled.join(met, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
 
 
 def _placed(x: str) -> list[Column]:
-    return [F.col(f"{x}.cid").alias(f"{x}_cid"), F.shiftright(f"{x}.place", 32).alias(f"{x}_pos"), F.col(f"{x}.place").bitwiseAND(F.lit((1 << 32) - 1)).alias(f"{x}_n")]
+    return [F.shiftright("place", 32).alias(f"{x}_pos"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias(f"{x}_n")]
 
 
 def _fits(a: str, b: str, percent: int) -> Column:
@@ -184,19 +219,6 @@ def _fits(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * room >= percent * (F.col(f"{a}_n") + F.col(f"{b}_n"))
 
 
-def with_class_ids(docs: DataFrame, width: int) -> DataFrame:
-    """``docs`` with cid_, which names the set of shingles; 0 without any."""
-
-    def run(batches):
-        for batch in batches:
-            cid = np.zeros(len(batch), np.int64)
-            for i, s in shingle_sets(batch.column(batch.schema.names.index("text")), width):
-                cid[i] = _class_id(s)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cid)], [*batch.schema.names, "cid_"])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("cid_", LongType())]))
-
-
 def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, keys: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text, ...).
 
@@ -204,9 +226,10 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, keys:
     ``width``-word shingles, or the whole sequence where there are fewer words. Two documents link at a
     Jaccard similarity of ``percent`` hundredths; component_id is the smallest doc_id of those reachable.
     A null, empty or blank text has no shingles, links with nothing and is its own component, as is any
-    row of a null doc_id that links with none. Repeated rows stay repeated. Other columns are ignored.
-    With ``keys`` rows also have cid_, which names the set, and root_, which names the component (null
-    without shingles): an id on several rows can belong to several.
+    row of a null doc_id that links with none. Repeated rows stay repeated and repeated ids are rows of
+    their own, each linked by its own text. Other columns are ignored. With ``keys`` rows also have
+    text_hash (xxhash64 of the text) and leads: whether the row's id and text are those of its
+    component's first row, by id (null last) and text_hash; null without shingles.
     """
     with intermediate(docs.sparkSession):
         return _similarity_classes(docs, width, percent, keys)
@@ -214,66 +237,64 @@ def similarity_classes(docs: DataFrame, width: int = 5, percent: int = 80, keys:
 
 def _similarity_classes(docs: DataFrame, width: int, percent: int, keys: bool) -> DataFrame:
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
-    counted = texts.select("text").mapInArrow(_bucket_counts(width), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    order = np.zeros(ORDER_BUCKETS, dtype=np.int32)
-    got = counted.toPandas()
-    order[got["bucket"].to_numpy()] = np.minimum(got["n"].to_numpy(), np.iinfo(np.int32).max)
-    order = spark.sparkContext.broadcast(order)
-
-    sets = stored(texts.mapInArrow(_prefixes(width, percent, order), "doc_id long, n_shingles long, cid long, tokens array<long>"), "sets")
-    classes = stored(sets.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")), "classes")
-    # all but one of the rows of a class stay out of the index
-    of_class = sets.where("n_shingles > 0").select("doc_id", "cid").join(classes.where("n_rows > 1"), "cid")
-    extra = of_class.where("not (doc_id <=> rep)").select("doc_id", "cid").distinct()
-    rows = sets.where("n_shingles > 0").join(extra, ["doc_id", "cid"], "left_anti")
-    rows = rows.select("cid", "n_shingles", F.posexplode("tokens").alias("pos", "token"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    order = spark.sparkContext.broadcast(_frequencies(texts, width))
+    form = "doc_id long, text_hash long, n_shingles long, cid long, tokens array<long>, second array<int>, third array<int>"
+    sets = stored(texts.mapInArrow(_prefixes(width, percent, order), form), "sets")
+    filled = sets.where("n_shingles > 0")
+    # the first row of each class, by id and text, stands for it
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    classes = stored(filled.groupBy("cid").agg(first).select("cid", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash")), "classes")
+    # ids grow with the corpus, so these joins are shuffled at every size
+    of_rep = lambda df, of: df.join(of.hint("shuffle_hash"), df["doc_id"].eqNullSafe(of["rep"]) & (df["text_hash"] == of["rep_hash"]))
+    reps = of_rep(filled.drop("cid"), classes).select("cid", "n_shingles", "tokens", "second", "third")
+    reps = stored(reps.mapInArrow(_once("cid"), "cid long, n_shingles long, tokens array<long>, second array<int>, third array<int>"), "reps")
+
+    rows = reps.select("cid", "n_shingles", F.posexplode("tokens").alias("pos", "token"))
     # a row of the index: a place and a size share one number, which keeps the shuffle small
     rows = rows.select("token", "cid", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n_shingles")).alias("place"))
-    meet = rows.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("token")
-    shared = stored(rows.join(meet, "token").distinct(), "shared")
-    pivots = shared.groupBy("token").agg(F.min("place").alias("place"), F.min_by("cid", F.struct("place", "cid")).alias("cid"))
-    paired = shared.alias("s").join(pivots.alias("p"), "token")
-    paired = stored(paired.select("token", *_placed("s"), *_placed("p")), "paired")
-
-    # the texts of all classes in the index: ids grow with the corpus, so this join is shuffled at every size
-    wanted = classes.join(shared.select("cid").distinct(), "cid").select("cid", "rep").hint("shuffle_hash")
-    bodies = stored(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "text"), "bodies")
-    further = stored(bodies.mapInArrow(_further_prefixes(width, percent), "cid long, second array<int>, third array<int>"), "orders")
-    verified = lambda pairs, name: _verified(bodies, further, pairs, width, percent, name)
-
-    first = paired.where("s_cid <> p_cid").where(_fits("s", "p", percent))
-    links = verified(first.select(F.col("s_cid").alias("a"), F.col("p_cid").alias("b")), "first")
+    meet = rows.groupBy("token").agg(F.min("cid").alias("pivot"), F.max("cid").alias("other")).where("pivot <> other").select("token", "pivot")
+    paired = stored(rows.join(meet, "token").where("cid <> pivot"), "paired")
+    wanted = paired.select(F.explode(F.array("cid", "pivot")).alias("cid")).distinct()
+    bodies = of_rep(texts, classes.join(wanted, "cid", "left_semi")).select("cid", "text")
+    bodies = stored(bodies.mapInArrow(_once("cid"), "cid long, text string"), "bodies")
+
+    found = _verified(bodies, reps, paired.select(F.col("pivot").alias("a"), F.col("cid").alias("b")), width, percent)
+    links = stored(found, "links-first")
     # one round joins the stars around pivots; equal labels mean one component
     labels = stored(_star_round(_ordered(links)).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")), "labels")
 
-    rest = paired.where("s_cid <> p_cid").select("token", "s_cid", "s_pos", "s_n")
+    rest = paired.select("token", F.col("cid").alias("s_cid"), *_placed("s"))
     rest = rest.join(labels, rest["s_cid"] == labels["node"], "left").select("token", "s_cid", "s_pos", "s_n", F.coalesce("label", "s_cid").alias("s_label"))
     undone = rest.groupBy("token").agg(F.min("s_label").alias("lo"), F.max("s_label").alias("hi")).where("lo <> hi").select("token")
-    rest = stored(rest.join(undone, "token"), "rest")
-    other = rest.select("token", *(F.col(c).alias("o" + c[1:]) for c in rest.columns[1:]))
-    pairs = rest.join(other, (rest["token"] == other["token"]) & (F.col("s_label") < F.col("o_label")) & _fits("s", "o", percent))
-    more = verified(pairs.select(F.col("s_cid").alias("a"), F.col("o_cid").alias("b")), "rest")
-    roots = stored(_roots(links.unionByName(more), labels), "roots")
-
-    named = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(lowest, "root").select("cid", "component_id", *(["root"] if keys else []))
-    out = sets.drop("tokens").join(of_class, "cid", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *([F.col("cid").alias("cid_"), F.col("root").alias("root_")] if keys else []))
+    rest, left = measured(rest.join(undone, "token"), "rest", F.count("*").alias("n"))
+    if left["n"]:
+        other = rest.select("token", *(F.col(c).alias("o" + c[1:]) for c in rest.columns[1:]))
+        pairs = rest.join(other, (rest["token"] == other["token"]) & (F.col("s_label") < F.col("o_label")) & _fits("s", "o", percent))
+        found = _verified(bodies, reps, pairs.select(F.least("s_cid", "o_cid").alias("a"), F.greatest("s_cid", "o_cid").alias("b")), width, percent)
+        links = links.unionByName(stored(found, "links-rest"))
+    roots = stored(_roots(links, labels), "roots")
+
+    named = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "rep", "rep_hash", F.coalesce("root", "cid").alias("root"))
+    lead = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), F.col("rep").alias("id"), F.col("rep_hash").alias("hash"))).alias("lead"))
+    of_class = named.join(lead, "root").select(F.col("cid").alias("of"), "lead")
+    columns = [F.when(F.col("n_shingles") > 0, F.col("lead.id")).otherwise(F.col("doc_id")).alias("component_id")]
+    if keys:
+        leads = F.col("doc_id").eqNullSafe(F.col("lead.id")) & (F.col("text_hash") == F.col("lead.hash"))
+        columns += ["text_hash", F.when(F.col("n_shingles") > 0, leads).alias("leads")]
+    out = sets.join(of_class, F.col("cid") == F.col("of"), "left").select("doc_id", "n_shingles", *columns)
     return lasting(out, "classes")
 
 
-def _verified(bodies: DataFrame, further: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """The links (u, v) among candidate pairs (a, b) of classes.
+def _verified(bodies: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links (u, v) among candidate pairs (a, b) of classes, a the one that many pairs may share.
 
     Pairs whose prefixes do not meet under every further order end here; of the others the whole texts
-    are compared.
+    are compared. The text of b is joined first: the rows of a frequent a are then large enough for
+    adaptive execution to split them.
     """
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    of = lambda x: further.select(F.col("cid").alias(x), F.col("second").alias(f"{x}2"), F.col("third").alias(f"{x}3"))
-    agreed = pairs.join(of("a"), "a").join(of("b"), "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
-    left = bodies.select(F.col("cid").alias("a"), F.col("text").alias("left"))
-    right = bodies.select(F.col("cid").alias("b"), F.col("text").alias("right"))
-    full = agreed.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return stored(full.mapInArrow(_verify(width, percent), "u long, v long"), f"links-{name}")
+    of = lambda x: reps.select(F.col("cid").alias(x), F.col("second").alias(f"{x}2"), F.col("third").alias(f"{x}3"))
+    agreed = pairs.distinct().join(of("b"), "b").join(of("a"), "a").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
+    body = lambda x, name: bodies.select(F.col("cid").alias(x), F.col("text").alias(name))
+    full = agreed.join(body("b", "right"), "b").join(body("a", "left"), "a").select("a", "b", "left", "right")
+    return full.mapInArrow(_verify(width, percent), "u long, v long")

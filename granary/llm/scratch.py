@@ -2,28 +2,32 @@
 
 They lie in the folder that the cluster names in ``spark.checkpoint.dir``, which every executor and
 the driver share; a lost executor therefore costs a few tasks, never a phase. Where the setting is
-absent (tests, a laptop) a temporary folder of this machine takes its place.
+absent (tests, a laptop) a temporary folder of this machine takes its place, under a local master only.
+Shuffle files of a phase go when its table is written.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _RUN = uuid.uuid4().hex[:12]
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables of this driver process."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines share when the master is {master}")
         shared = _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="granary-"))
     if _RUN not in _LOCAL:
         _LOCAL[_RUN] = f"{shared.rstrip('/')}/granary-{_RUN}"
@@ -49,15 +53,24 @@ def lasting(df: DataFrame, name: str) -> DataFrame:
     return _write(df, name, _OPEN[-2] if len(_OPEN) > 1 else None)
 
 
+def measured(df: DataFrame, name: str, *figures: Column) -> tuple[DataFrame, Row]:
+    """As ``stored``, with aggregates over all rows that the same pass has made."""
+    seen = Observation()
+    out = stored(df.observe(seen, *figures), name)
+    return out, Row(**seen.get)
+
+
 def _write(df: DataFrame, name: str, owner: list[str] | None) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     if owner is not None:
         owner.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    # Spark drops the shuffle files of a finished phase once the driver's garbage is collected
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
