@@ -2,26 +2,27 @@
 
 A bigram of count c is stored as the keys (bigram, 1) ... (bigram, q), q = 1 + floor(log_b(c)). Reading
 a count back means probing those keys one after the other until one is missing; the number of hits gives
-c up to the base of the logarithm. Probabilities are smoothed after Witten and Bell:
-(c(hw) + t(h) p(w)) / (c(h) + t(h)), t(h) the number of distinct words that follow h, p(w) the add-delta
-share of w. In logarithms that is a sum of three parts: log p(w), the weight t(h) / (c(h) + t(h)) of the
-context, and a gain log(1 + c(hw) / (t(h) p(w))) for a bigram of the training text.
-
-Every training word has its own counts, and every bigram is in the filter, which grows with the input
-and is never in one place: keys and probes are dealt out by bigram, and each task fills the filter of its
-share and probes it. What workers receive is bounded at every size: figures of the most frequent words
-and levels of the most frequent bigrams, which save shuffling and change nothing else, as all other words
-are looked up by shuffled joins and all other bigrams in the shares.
+c up to the base of the logarithm. A word's probability after a context h mixes that count with the word's
+own share p(w), add-delta smoothed: (c(hw) + t p(w)) / (c(h) + t), where t = scale * c(h) ** power is about
+the number of distinct words that follow h. For exact counts the probabilities after h sum to 1.
+
+Every training word and every bigram is in the model, at every size, so the filter grows with the input
+and is never in one place. Keys are dealt out by their first bits into shares. The task of a share merges
+its counts, fills its part of the filter and answers the probes for it: texts are cut into blocks of a few
+megabytes, each block sends its distinct bigrams and rare words to their shares as packed arrays and gets
+one level or count for each back. Only the counts of the most frequent words, a table of fixed size, are
+broadcast; they save probes and change nothing else.
 """
 
 from __future__ import annotations
 
-import gc
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashindex import HashIndex, Tally
@@ -30,27 +31,26 @@ from .textarrays import Texts, chunks, mix
 
 _END = np.uint64(0x1D8E4E27C47D124F)  # the token at the end of each text
 _BEGIN = np.uint64(0xA24BAED4963EE407)  # the context of a text's first token
-_TOP = np.uint64(48)
+_LOW = np.uint64((1 << 40) - 1)
 
 
 @dataclass(frozen=True)
 class Config:
-    #: words with exact figures in the broadcast table, some 40 bytes each; others are joined
+    #: words whose counts are broadcast, some 30 bytes each; others are probed
     table_words: int = 1 << 18
-    #: bigrams in the broadcast table, some 20 bytes each; others are probed in the shares
-    table_bigrams: int = 1 << 21
-    #: without effect: the model tells all words apart
-    model_words: int | None = None
     base: float = 1.5
     bits_per_key: int = 14
     delta: float = 0.1
-    #: bigrams of one share of the filter
-    share_entries: int = 1 << 19
-    #: rounds (a power of two), each for a part of all bigrams, which keep the shuffles of probes small on disk
-    rounds: int = 4
+    #: distinct followers of a context of count c: scale * c ** power
+    scale: float = 2.0
+    power: float = 0.75
+    #: bytes of training text and of scored text to one share, about
+    share_bytes: int = 16 << 20
+    #: bytes of text of a block
+    block_bytes: int = 8 << 20
 
 
-def _tokens(column: pa.Array):
+def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, hashes of all tokens, text of each): words after lower-casing A-Z, then an end."""
     for lo, hi in chunks(column):
         words = Texts(column.slice(lo, hi - lo)).words()
@@ -61,57 +61,185 @@ def _tokens(column: pa.Array):
         yield lo, out, doc
 
 
-def _tally(keys_of):
+def _contexts(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The token before each one."""
+    before = np.concatenate(([_BEGIN], tokens[:-1]))
+    before[np.concatenate(([True], doc[1:] != doc[:-1]))] = _BEGIN
+    return before
+
+
+def _bigrams(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return mix(mix(before) + tokens)
+
+
+# -- shares: a key belongs to share (first 24 bits) * shares / 2**24, so sorted keys lie share by share
+
+
+def _bounds(keys: np.ndarray, shares: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(share, first, last) of the shares that sorted ``keys`` touch."""
+    of = ((keys >> np.uint64(40)) * np.uint64(shares)) >> np.uint64(24)
+    ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)] * (len(of) > 0)).astype(np.int64)
+    first = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    return of[first].astype(np.int32), first, ends
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """The last 40 bits of each key: the first ones are nearly those of its share."""
+    return np.ascontiguousarray(keys & _LOW, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def _small(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys with counts up to 255: a larger one is written several times."""
+    times = (counts + 254) // 255
+    if (times == 1).all():
+        return keys, counts.astype(np.uint8)
+    at = np.repeat(np.arange(len(keys)), times)
+    last = np.cumsum(times) - 1
+    out = np.full(len(at), 255, dtype=np.uint8)
+    out[last] = counts - 255 * (times - 1)
+    return keys[at], out
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    k, c = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts])
+    if not len(k):
+        return k, c
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    return k[first], np.add.reduceat(c[order], first)
+
+
+class _Gathered:
+    """Counts of keys from many parts, merged whenever many have come."""
+
+    def __init__(self, limit: int = 1 << 21):
+        self.keys, self.counts, self.size, self.limit = [], [], 0, limit
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts.astype(np.int64))
+        self.size += len(keys)
+        if self.size > self.limit:
+            k, c = self.take()
+            self.keys, self.counts, self.size, self.limit = [k], [c], len(k), max(self.limit, 2 * len(k))
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        out = _merged(self.keys, self.counts)
+        self.keys, self.counts, self.size = [], [], 0
+        return out
+
+
+# -- training
+
+_DEALT = "share int, kind int, block long, keys binary, more binary"
+
+
+def _dealt(keys: np.ndarray, counts: np.ndarray, shares: int, pack, kind: int) -> pa.RecordBatch:
+    share, first, last = _bounds(keys, shares)
+    blobs, more = [], []
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        k, c = _small(keys[a:b], counts[a:b])
+        blobs.append(pack(k))
+        more.append(c.tobytes())
+    n = len(share)
+    return pa.RecordBatch.from_arrays([pa.array(share), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, -1, np.int64)), pa.array(blobs, pa.binary()), pa.array(more, pa.binary())], ["share", "kind", "block", "keys", "more"])
+
+
+def _counted(keys_of, shares: int, pack, kind: int):
+    """Packed counts of the training texts, share by share, merged within a few million keys."""
+
     def run(batches):
-        tally = Tally()
-        row = lambda part: pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1])], ["h", "c"])
+        tally = Tally(1 << 22)
         for batch in batches:
             for _, tokens, doc in _tokens(batch.column(0)):
                 if full := tally.add(keys_of(tokens, doc)):
-                    yield row(full)
-        yield row(tally.take())
+                    yield _dealt(*full, shares, pack, kind)
+        yield _dealt(*tally.take(), shares, pack, kind)
 
     return run
 
 
-def _contexts(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The token before each one."""
-    before = np.concatenate(([_BEGIN], tokens[:-1]))
-    before[np.concatenate(([True], doc[1:] != doc[:-1]))] = _BEGIN
-    return before
+_STEP = float(np.log(1.02))
 
 
-def _bigrams(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Keys of bigrams: 16 bits of the context's hash, so that sorted keys bring a context together, and 48 of both."""
-    return (before >> _TOP << _TOP) | (mix(mix(before) + tokens) >> np.uint64(16))
+def _words(batches):
+    """Of each share its words with exact counts, how many there are, and how many of each size (in steps of the logarithm)."""
+    held: dict[int, _Gathered] = {}
+    for batch in batches:
+        for share, keys, counts in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+            held.setdefault(share, _Gathered()).add(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint8))
+    for share, of in held.items():
+        k, c = of.take()
+        sizes = np.bincount((np.log(c) / _STEP).astype(np.int64)) if len(c) else np.zeros(0, np.int64)
+        row = [pa.array([share], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary()), pa.array([len(k)], pa.int64()), pa.array([int(c.sum())], pa.int64()), pa.array([sizes], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(row, ["share", "keys", "more", "types", "tokens", "sizes"])
 
 
-def _pairs(batches):
-    """(bigram, context, count), merged within some two million bigrams."""
-    parts, size = [], 0
+def _at_least(step: int):
+    def run(batches):
+        for batch in batches:
+            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                k, c = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)
+                pick = (np.log(c) / _STEP).astype(np.int64) >= step
+                yield pa.RecordBatch.from_arrays([pa.array(k[pick].view(np.int64)), pa.array(c[pick])], ["h", "c"])
 
-    def merged():
-        b, h, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.argsort(b, kind="stable")
-        b = b[order]
-        first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-        return b[first], h[order][first], np.add.reduceat(c[order], first)
+    return run
 
-    row = lambda part: pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1].view(np.int64)), pa.array(part[2])], ["b", "h", "c"])
-    for batch in batches:
-        for _, tokens, doc in _tokens(batch.column(0)):
-            before = _contexts(tokens, doc)
-            b, at, c = np.unique(_bigrams(before, tokens), return_index=True, return_counts=True)
-            parts.append((b, before[at], c))
-            size += len(b)
-            if size > 1 << 21:
-                parts = [merged()]
-                size = len(parts[0][0])
-                if size > 1 << 20:
-                    yield row(parts[0])
-                    parts, size = [], 0
-    if parts:
-        yield row(merged())
+
+@dataclass
+class Model:
+    """What every worker receives."""
+
+    config: Config
+    shares: int
+    tokens: int  # N
+    types: int  # V
+    texts: int
+    table: HashIndex
+    table_counts: np.ndarray
+
+    @property
+    def mass(self) -> float:
+        return self.tokens + self.config.delta * (self.types + 1)
+
+
+def train(training: DataFrame, docs: DataFrame, config: Config | None = None) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of ``training`` (text), all word counts by share, and all bigram counts as packed rows.
+
+    The number of shares follows the bytes of ``training`` and ``docs`` (text).
+    """
+    config = config or Config()
+    texts = training.select("text")
+    bytes_of = lambda df: df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    (size, n_texts), (other, _) = bytes_of(texts), bytes_of(docs)
+    spark = training.sparkSession
+    shares = min(1 << 24, max(spark.sparkContext.defaultParallelism, (size + other) // config.share_bytes))
+    words = texts.mapInArrow(_counted(lambda tokens, doc: tokens, shares, lambda k: k.tobytes(), 1), _DEALT).repartitionById(shares, "share")
+    words = stored(words.mapInArrow(_words, "share int, keys binary, more binary, types long, tokens long, sizes array<long>"), "words")
+    v, n = words.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    # whole steps of the largest counts, as many as the table has room for
+    steps = words.select(F.posexplode("sizes").alias("step", "n")).groupBy("step").agg(F.sum("n").alias("n")).collect()
+    least, total = 1 << 30, 0
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        total += r["n"]
+        if total > config.table_words:
+            break
+        least = r["step"]
+    known = words.select("keys", "more").mapInArrow(_at_least(least), "h long, c long").toArrow()
+    table = HashIndex(known.column("h").to_numpy().view(np.uint64))
+    pairs = texts.mapInArrow(_counted(lambda tokens, doc: _bigrams(_contexts(tokens, doc), tokens), shares, _packed, 0), _DEALT)
+    return Model(config, shares, n, v, n_texts, table, known.column("c").to_numpy()), words, pairs
+
+
+# -- the filter
 
 
 class BloomCounts:
@@ -129,26 +257,31 @@ class BloomCounts:
             bits = bits | (np.uint64(1) << ((h >> np.uint64(6 * k)) & np.uint64(63)))
         return (h >> shift).astype(np.int64), bits
 
-    def count(self, keys: np.ndarray, least: float) -> np.ndarray:
-        """The stored counts: 0 for a miss at the first probe, else the middle of the last level hit."""
-        level = np.zeros(len(keys), dtype=np.int64)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """How many probes of each key hit, one level after the other."""
+        out = np.zeros(len(keys), dtype=np.uint8)
         live = np.arange(len(keys))
-        k = 1
-        while len(live) and k <= 200:
+        for k in range(1, 200):
+            if not len(live):
+                break
             at, bits = self.places(keys[live], k, self.shift)
             live = live[(self.words[at] & bits) == bits]
-            level[live] = k
-            k += 1
-        return middle(level, least, self.base)
+            out[live] = k
+        return out
 
 
-def middle(level: np.ndarray, least: float, base: float) -> np.ndarray:
-    """The count that a level stands for."""
-    return np.where(level > 0, np.maximum(least * base ** (level - 1.0) * (1 + base) / 2, least), 0.0)
+def levels_of(counts: np.ndarray, base: float) -> np.ndarray:
+    return 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(base) + 1e-9).astype(np.int64)
 
 
-def levels(count: Column, least: float, base: float) -> Column:
-    return (1 + F.floor(F.log(F.greatest(count / F.lit(float(least)), F.lit(1.0))) / float(np.log(base)) + 1e-9)).cast("int")
+def middles(base: float) -> np.ndarray:
+    """The count that each level stands for: the mean of those that it takes in, 0 for level 0."""
+    ends = [base**q for q in range(200)]
+    out = [0.0]
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        first, last = int(np.ceil(lo - 1e-6)), int(np.ceil(hi - 1e-6)) - 1
+        out.append((first + last) / 2 if last >= first else lo)
+    return np.array(out)
 
 
 def filled(keys: np.ndarray, q: np.ndarray, config: Config) -> BloomCounts:
@@ -157,180 +290,162 @@ def filled(keys: np.ndarray, q: np.ndarray, config: Config) -> BloomCounts:
     out = BloomCounts(np.zeros(n_words, dtype=np.uint64), config.base)
     for k in range(1, int(q.max(initial=0)) + 1):
         at, bits = out.places(keys[q >= k], k, out.shift)
-        np.bitwise_or.at(out.words, at, bits)
+        order = np.argsort(at)
+        at = at[order]
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        out.words[at[first]] |= np.bitwise_or.reduceat(bits[order], first)
     return out
 
 
-def frequent(vocab: DataFrame, limit: int) -> DataFrame:
-    """The words of the largest counts, at most ``limit``: whole steps of the count's logarithm."""
-    step = F.floor(F.log("c") / float(np.log(1.02))).cast("int")
-    sizes = sorted(((r["s"], r["n"]) for r in vocab.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, total = None, 0
-    for s, n in sizes:
-        if total + n > limit:
-            break
-        least, total = s, total + n
-    return vocab.where(step >= least) if least is not None else vocab.limit(0)
+# -- scoring: blocks of texts, their probes, the answers, and the scores of a block
 
 
-@dataclass
-class Model:
-    """What workers receive."""
+def _blocks(limit: int):
+    """Rows gathered into blocks of about ``limit`` bytes of text, each one value."""
 
-    config: Config
-    tokens: int  # N
-    types: int  # V
-    words: HashIndex
-    counts: np.ndarray  # of each word: as a word, as a context, distinct followers
-    as_context: np.ndarray
-    followers: np.ndarray
-    bigrams: HashIndex
-    bigram_counts: np.ndarray
+    def run(batches):
+        held, size, n = [], 0, 0
+        task = TaskContext.get().partitionId() << 32
 
-    @property
-    def mass(self) -> float:
-        return self.tokens + self.config.delta * (self.types + 1)
+        def block():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for b in held:
+                    out.write_batch(b)
+            return pa.RecordBatch.from_arrays([pa.array([task + n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
 
+        for batch in batches:
+            for lo, hi in chunks(batch.column(batch.schema.get_field_index("text"))):
+                part = batch.slice(lo, hi - lo)
+                held.append(part)
+                size += part.column(part.schema.get_field_index("text")).nbytes + 16 * len(part)
+                if size >= limit:
+                    yield block()
+                    held, size, n = [], 0, n + 1
+        if held:
+            yield block()
 
-def train(training: DataFrame, config: Config | None = None) -> tuple[Model, DataFrame, DataFrame]:
-    """The model of ``training`` (text), the exact figures (h, c, n, t) of all words and the levels (b, q) of all bigrams.
+    return run
 
-    c counts the word h, n the tokens after it, t the distinct ones; a text's begin has a row as well.
-    """
-    config = config or Config()
-    texts = training.select("text")
-    vocab = stored(texts.mapInArrow(_tally(lambda tokens, doc: tokens), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocab")
-    n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    with intermediate(training.sparkSession):
-        # tasks have merged their rows, so these are dealt out as they are; sorted, a context lies together
-        pairs = texts.mapInArrow(_pairs, "b long, h long, c long").repartition("b").groupBy("b").agg(F.first("h").alias("h"), F.sum("c").alias("c"))
-        pairs = stored(pairs.sortWithinPartitions("b"), "pairs")
-        release(training.sparkSession)
-        none = F.lit(0).cast("long")
-        after = pairs.groupBy("h").agg(F.sum("c").alias("n"), F.count("*").alias("t")).select("h", none.alias("c"), "n", "t")
-        figures = vocab.select("h", "c", none.alias("n"), none.alias("t")).unionByName(after).groupBy("h").agg(*(F.sum(x).alias(x) for x in ("c", "n", "t")))
-        figures = lasting(figures.select("h", F.greatest("c", "n").alias("c"), "n", "t"), "figures")
-        levelled = pairs.select("b", "c", levels(F.col("c"), 1, config.base).alias("q"))
-        usual = frequent(levelled, config.table_bigrams).select("b", "q").toArrow()
-        entries = lasting(levelled.select("b", "q"), "entries")
-    begin = F.lit(int(_BEGIN.view(np.int64)))
-    known = frequent(figures.where(F.col("h") != begin), config.table_words).unionByName(figures.where(F.col("h") == begin)).toArrow()
-    h, c, after, t = (known.column(x).to_numpy() for x in ("h", "c", "n", "t"))
-    bigram_counts = middle(usual.column("q").to_numpy(), 1, config.base).astype(np.float32)
-    words, bigrams = HashIndex(h.view(np.uint64)), HashIndex(usual.column("b").to_numpy().view(np.uint64))
-    return Model(config, n, v, words, *(x.astype(np.float64) for x in (c, after, t)), bigrams, bigram_counts), figures, entries
-
-
-def _lists(parts: list[tuple[np.ndarray, ...]], ends: list[np.ndarray], names: tuple[str, ...], types: tuple) -> pa.Array:
-    """Lists of structs, one for each text."""
-    flat = [np.concatenate([np.zeros(0, t), *(p[i] for p in parts)]).astype(t, copy=False) for i, t in enumerate(types)]
-    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([np.zeros(0, np.int64), *ends]))])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], list(names)))
-
-
-_MIXED = ("h", "w", "b", "n", "t", "c"), (np.int64, np.int64, np.int64, np.float32, np.float32, np.float32)
-
-
-class _Chunk:
-    """The tokens of some texts, and where words and contexts stand in the model's table (-1: not there)."""
-
-    def __init__(self, model: Model, tokens: np.ndarray, doc: np.ndarray):
-        self.doc, self.n = doc, int(doc[-1]) + 1
-        self.at = model.words.find(tokens).astype(np.int64)
-        self.before = _contexts(tokens, doc)
-        start = int(model.words.find(np.array([_BEGIN]))[0])
-        self.h = np.concatenate(([start], self.at[:-1]))
-        self.h[self.before == _BEGIN] = start
-        self.b = _bigrams(self.before, tokens)
-        self.both = (self.at >= 0) & (self.h >= 0)
-
-    def figures(self, model: Model, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """t(h) p(w) and c(h) of tokens that are in the table with their contexts."""
-        return model.followers[self.h[pick]] * (model.counts[self.at[pick]] + model.config.delta) / model.mass, model.as_context[self.h[pick]]
-
-    def per(self, pick: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
-        """Sums of x by text."""
-        return np.bincount(self.doc[pick], x, self.n)
-
-
-def _score(sent):
+
+class _Block:
+    """The rows of a block, and their tokens and contexts as places among its distinct words."""
+
+    def __init__(self, data: bytes, model: Model):
+        self.rows = pa.ipc.open_stream(data).read_all()
+        tokens, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        done = 0
+        for x in self.rows.column("text").chunks:
+            for lo, t, d in _tokens(x):
+                tokens.append(t)
+                doc.append(done + lo + d)
+            done += len(x)
+        self.tokens, self.doc = np.concatenate(tokens), np.concatenate(doc)
+        self.keys = _bigrams(before := _contexts(self.tokens, self.doc), self.tokens) if len(self.tokens) else self.tokens
+        self.before = before if len(self.tokens) else self.tokens
+        at = model.table.find(self.tokens)
+        #: of each token the count in the table, -1 for others
+        self.counts = np.where(at >= 0, model.table_counts[at], -1) if len(model.table.keys) else np.full(len(at), -1)
+        self.counts[self.tokens == _END] = model.texts
+
+    def rare(self) -> np.ndarray:
+        return np.unique(self.tokens[self.counts < 0])
+
+
+def _probes(sent):
     def run(batches):
         model = sent.value
-        delta = model.config.delta
-        with np.errstate(divide="ignore", invalid="ignore"):
-            weight = np.where(model.as_context > 0, np.log10(model.followers / (model.as_context + model.followers)), 0.0)
         for batch in batches:
-            names = batch.schema.names
-            column = batch.column(names.index("text"))
-            out = {k: np.zeros(len(batch), t) for k, t in (("n_tokens", np.int64), ("n_known", np.int64), ("base", np.float64), ("more", np.float64))}
-            rare, mixed = ([], []), ([], [])
-            for lo, tokens, doc in _tokens(column):
-                x = _Chunk(model, tokens, doc)
-                rows, word, context = slice(lo, lo + x.n), x.at >= 0, x.h >= 0
-                out["n_tokens"][rows] = np.bincount(doc, minlength=x.n)
-                out["n_known"][rows] = x.per(word)
-                out["base"][rows] = x.per(word, np.log10(model.counts[x.at[word]] + delta))
-                out["more"][rows] = x.per(context, weight[x.h[context]])
-                found = model.bigrams.find(x.b)
-                hit = np.flatnonzero(x.both & (found >= 0))
-                tp, most = x.figures(model, hit)
-                out["more"][rows] += x.per(hit, np.log10(1 + np.minimum(model.bigram_counts[found[hit]], most) / tp))
-                some = np.flatnonzero(~x.both)
-                figure = lambda of, i: np.where(i[some] >= 0, of[i[some]] if len(of) else -1.0, -1.0)  # noqa: E731, B023
-                unknown = lambda keys, i: np.where(i[some] < 0, keys[some], np.uint64(0)).view(np.int64)  # noqa: E731, B023
-                mixed[0].append((unknown(x.before, x.h), unknown(tokens, x.at), x.b[some].view(np.int64), figure(model.as_context, x.h), figure(model.followers, x.h), figure(model.counts, x.at)))
-                mixed[1].append(x.per(some))
-                rare[0].append((tokens[~word].view(np.int64),))
-                rare[1].append(x.per(~word))
-            lists = {"rare": _lists(*rare, ("h",), (np.int64,)), "mixed": _lists(*mixed, *_MIXED)}
-            keep = [(c, y) for c, y in zip(names, batch.columns, strict=True) if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(y for _, y in keep), *map(pa.array, out.values()), *lists.values()], [*(c for c, _ in keep), *out, *lists])
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                block = _Block(data.as_py(), model)
+                asked = {}
+                for i, (keys, pack) in enumerate(((np.unique(block.keys), _packed), (block.rare(), np.ndarray.tobytes))):
+                    for share, a, b in zip(*(x.tolist() for x in _bounds(keys, model.shares)), strict=True):
+                        asked.setdefault(share, [b"", b""])[i] = pack(keys[a:b])
+                n = len(asked)
+                yield pa.RecordBatch.from_arrays([pa.array(list(asked), pa.int32()), pa.array(np.full(n, 2, np.int32)), pa.array(np.full(n, number, np.int64)), pa.array([x[0] for x in asked.values()], pa.binary()), pa.array([x[1] for x in asked.values()], pa.binary())], ["share", "kind", "block", "keys", "more"])
 
     return run
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of the table stored last, whose plan is no longer held."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def _probes(sent, part: int):
-    """(b, rid, tp, most) of bigrams of known words outside the broadcast table, of one round."""
+def _answers(config: Config):
+    """(block, share, levels, counts) from the rows of a share: its bigrams, its words, then the probes of all blocks."""
 
     def run(batches):
-        model = sent.value
+        now, pairs, words, bloom = None, None, None, None
         for batch in batches:
-            rid = batch.column(0).to_numpy()
-            for lo, tokens, doc in _tokens(batch.column(1)):
-                x = _Chunk(model, tokens, doc)
-                pick = np.flatnonzero(x.both & ((x.b & np.uint64(model.config.rounds - 1)) == part))
-                pick = pick[model.bigrams.find(x.b[pick]) < 0]
-                tp, most = x.figures(model, pick)
-                yield pa.RecordBatch.from_arrays([pa.array(x.b[pick].view(np.int64)), pa.array(rid[lo + doc[pick]]), pa.array(tp.astype(np.float32)), pa.array(most.astype(np.float32))], ["b", "rid", "tp", "most"])
+            out = [], [], [], []
+            for share, kind, block, keys, more in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if share != now:
+                    now, pairs, words, bloom = share, _Gathered(), (np.zeros(0, np.uint64), np.zeros(0, np.int64)), None
+                if kind == 0:
+                    pairs.add(_unpacked(keys), np.frombuffer(more, np.uint8))
+                elif kind == 1:
+                    words = np.frombuffer(keys, np.uint64), np.frombuffer(more, np.int64)
+                else:
+                    if bloom is None:
+                        k, c = pairs.take()
+                        bloom = filled(k, levels_of(c, config.base), config)
+                    wanted = np.frombuffer(more, np.uint64)
+                    counts = np.zeros(len(wanted), dtype=np.int64)
+                    if len(words[0]) and len(wanted):
+                        at = np.minimum(np.searchsorted(words[0], wanted), len(words[0]) - 1)
+                        counts = np.where(words[0][at] == wanted, words[1][at], 0)
+                    for column, x in zip(out, (block, share, bloom.levels(_unpacked(keys)).tobytes(), counts.tobytes()), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["block", "share", "levels", "counts"])
 
     return run
 
 
-def _probe(config: Config):
-    """(rid, more) from rows (b, rid, tp, most) of one share: first its bigrams, with -q for rid, then probes by rid."""
+def log_probability(found: np.ndarray, count: np.ndarray, context: np.ndarray, model: Model) -> np.ndarray:
+    """log10 of (c(hw) + t p(w)) / (c(h) + t) from c(hw), c(w) and c(h)."""
+    c = model.config
+    share = (count + c.delta) / model.mass
+    t = c.scale * np.power(np.maximum(context, 1), c.power)
+    return np.log10(np.where(context > 0, (np.minimum(found, np.minimum(count, context)) + t * share) / (context + t), share))
+
+
+_NEW = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _scores(sent, names: list[str]):
+    """The rows of each block with their scores, from its data and the answers to its probes."""
+
+    def scored(data: bytes, levels: list[bytes], counts: list[bytes], model: Model):
+        block = _Block(data, model)
+        n = block.rows.num_rows
+        total = lambda x=None: np.bincount(block.doc, x, n)
+        _, at = np.unique(block.keys, return_inverse=True)
+        found = middles(model.config.base)[np.frombuffer(b"".join(levels), np.uint8)][at]
+        own = block.counts
+        pick = own < 0
+        _, at = np.unique(block.tokens[pick], return_inverse=True)
+        own[pick] = np.frombuffer(b"".join(counts), np.int64)[at]
+        own = own.astype(np.float64)
+        context = np.concatenate(([0.0], own[:-1]))[: len(own)]
+        context[block.before == _BEGIN] = model.texts
+        base = np.log10((own + model.config.delta) / model.mass)
+        results = [total().astype(np.int64), total(own > 0).astype(np.int64), np.full(n, model.tokens), total(base).astype(np.float64), total(log_probability(found, own, context, model)).astype(np.float64)]
+        rows = block.rows.select(names).combine_chunks()
+        for name, x in zip(_NEW, results, strict=True):
+            rows = rows.append_column(name, pa.array(x))
+        yield from rows.to_batches()
 
     def run(batches):
-        keys, q, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], None
+        model = sent.value
+        now = None
         for batch in batches:
-            b, rid, tp, most = (batch.column(i).to_numpy() for i in range(4))
-            n = int(np.searchsorted(rid, 0))
-            keys.append(b[:n].view(np.uint64))
-            q.append(-rid[:n])
-            if n == len(rid):
-                continue
-            if counts is None:
-                counts = filled(np.concatenate(keys), np.concatenate(q), config)
-                keys, q = [], []
-            gain = np.log10(1 + np.minimum(counts.count(b[n:].view(np.uint64), 1), most[n:]) / tp[n:].astype(np.float64))
-            rid = rid[n:]
-            first = np.flatnonzero(np.concatenate(([True], rid[1:] != rid[:-1])))
-            yield pa.RecordBatch.from_arrays([pa.array(rid[first]), pa.array(np.add.reduceat(gain, first))], ["rid", "gain"])
+            for number, share, levels, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if share < 0:
+                    if now is not None:
+                        yield from scored(*now, model)
+                    now = (levels, [], [])
+                else:
+                    now[1].append(levels)
+                    now[2].append(counts)
+        if now is not None:
+            yield from scored(*now, model)
 
     return run
 
@@ -344,62 +459,24 @@ def score(docs: DataFrame, training: DataFrame, config: Config | None = None) ->
     probabilities. Without training rows N = V = 0 and nothing is known. Rows stay as they are, repeated
     ones too; clashing columns are replaced.
     """
-    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "base", "more", "rid", "rare", "mixed")
-    docs = docs.drop(*new)
+    docs = docs.drop(*_NEW)
     with intermediate(docs.sparkSession):
-        return lasting(_scored(docs, *train(training, config)), "scores")
-
-
-def _mixed_probes(rows: DataFrame, model: Model, figures: DataFrame) -> DataFrame:
-    """(b, rid, tp, most) of bigrams with a word outside the broadcast table: only such words are joined."""
-    mixed = rows.select("rid", F.inline("mixed"))
-    of = lambda x: figures.select(F.col("h").alias(x), *(F.col(k).cast("float").alias(f"{k}_") for k in ("c", "n", "t")))
-    found = mixed.where("n < 0").drop("n", "t").join(of("h"), "h").where("n_ > 0").select("rid", "w", "b", F.col("n_").alias("n"), F.col("t_").alias("t"), "c")
-    found = found.unionByName(mixed.where("n >= 0").select("rid", "w", "b", "n", "t", "c"))
-    full = found.where("c < 0").drop("c").join(of("w"), "w").select("rid", "b", "n", "t", F.col("c_").alias("c"))
-    full = full.unionByName(found.where("c >= 0").select("rid", "b", "n", "t", "c"))
-    return full.select("b", "rid", (F.col("t") * (F.col("c") + model.config.delta) / model.mass).cast("float").alias("tp"), F.col("n").alias("most"))
-
-
-def _gains(numbered: DataFrame, sent, config: Config, mixed: DataFrame, entries: DataFrame) -> DataFrame:
-    """(rid, gain): of all bigrams outside the broadcast table, by round."""
-    out = None
-    n = entries.count() // config.rounds
-    shares = max(numbered.sparkSession.sparkContext.defaultParallelism, 1 + n // config.share_entries)
-    zero = F.lit(0).cast("float")
-    for part in range(config.rounds):
-        release(numbered.sparkSession)
-        own = F.col("b").bitwiseAND(F.lit(config.rounds - 1)) == part
-        dealt = entries.where(own).select("b", (-F.col("q")).cast("long").alias("rid"), zero.alias("tp"), zero.alias("most"))
-        dealt = dealt.unionByName(mixed.where(own)).unionByName(numbered.select("rid", "text").mapInArrow(_probes(sent, part), "b long, rid long, tp float, most float"))
-        found = dealt.repartition(shares, "b").sortWithinPartitions("rid").mapInArrow(_probe(config), "rid long, gain double")
-        found = stored(found.groupBy("rid").agg(F.sum("gain").alias("gain")), "gains")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _scored(docs: DataFrame, model: Model, figures: DataFrame, entries: DataFrame) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    numbered = stored(docs.withColumn("rid", F.monotonically_increasing_id()), "numbered")
-    lists = "rare array<struct<h:long>>, mixed array<struct<h:long,w:long,b:long,n:float,t:float,c:float>>"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema if f.name != "text"), "n_tokens long, n_known long, base double, more double", lists])
-    rows = stored(numbered.mapInArrow(_score(sent), schema), "scored")
-    mixed = stored(_mixed_probes(rows, model, figures), "mixed")
-    delta = model.config.delta
-    gains = _gains(numbered, sent, model.config, mixed, entries).select("rid", F.lit(0.0).alias("base_"), F.col("gain").alias("more_"), F.lit(0).alias("seen"))
-    others = rows.select("rid", F.inline("rare")).join(figures, "h", "left")
-    weight = F.when(F.col("n") > 0, F.log10(F.col("t") / (F.col("n") + F.col("t")))).otherwise(0.0)
-    others = others.select("rid", F.log10(F.coalesce("c", F.lit(0)) + delta).alias("base_"), weight.alias("more_"), F.col("c").isNotNull().cast("int").alias("seen"))
-    others = others.unionByName(gains).groupBy("rid").agg(*(F.sum(x).alias(x) for x in ("base_", "more_", "seen")))
-    out = rows.drop("rare", "mixed").join(others, "rid", "left")
-    norm = float(np.log10(model.mass))
-    zero = F.lit(0)
-    base = F.col("base") + F.coalesce("base_", zero) - F.col("n_tokens") * norm
-    return out.select(
-        *[c for c in docs.columns if c != "text"],
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("seen", zero)).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("more") + F.coalesce("more_", zero)).alias("score"),
-    )
+        return lasting(_scored(docs, *train(training, docs, config)), "scores")
+
+
+def _scored(docs: DataFrame, model: Model, words: DataFrame, pairs: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(model)
+    # small row groups: a reader holds one of them at once
+    blocks = stored(docs.mapInArrow(_blocks(model.config.block_bytes), "block long, data binary"), "blocks")
+    probes = blocks.mapInArrow(_probes(sent), _DEALT)
+    held = words.select("share", F.lit(1).alias("kind"), F.lit(-1).cast("long").alias("block"), "keys", "more")
+    dealt = pairs.unionByName(held).unionByName(probes).repartitionById(model.shares, "share").sortWithinPartitions("share", "kind")
+    form = "block long, share int, levels binary, counts binary"
+    answers = stored(dealt.mapInArrow(_answers(model.config), form), "answers")
+    data = blocks.select("block", F.lit(-1).alias("share"), F.col("data").alias("levels"), F.lit(b"").alias("counts"))
+    # the answers of a block, share by share, follow its texts
+    gathered = data.unionByName(answers).repartition("block").sortWithinPartitions("block", "share")
+    names = [c for c in docs.columns if c != "text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
+    return gathered.mapInArrow(_scores(sent, names), schema)

@@ -199,7 +199,7 @@ def test_odd_trusted_documents_do_not_let_junk_pass(spark, some_docs):
 def test_lm_base_score_is_exact(spark, some_docs, odd_docs):
     docs = some_docs.unionByName(odd_docs).select("doc_id", "text")
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
-    small = bloom_lm.Config(table_words=40, model_words=20)
+    small = bloom_lm.Config(table_words=40, share_bytes=1000, block_bytes=3000)
     for config in (None, small):
         got = bloom_lm.score(clash(docs, "score", "rid", "base"), docs.where(rest != 0), config).collect()
         words = lambda t: [*re.findall(WORD, low(t)), None]
@@ -219,17 +219,28 @@ def test_lm_prefers_its_own_kind(spark):
 
 
 def test_filter_reads_counts_back():
-    counts = np.array([1, 2, 5, 40, 1000, 10**6])
-    keys = np.arange(1, 7).astype(np.uint64) * np.uint64(7919)
-    words = np.zeros(1 << 12, np.uint64)
-    f = bloom_lm.BloomCounts(words, 1.5)
-    for key, c in zip(keys, counts, strict=True):
-        for k in range(1, 2 + int(math.log(c) / math.log(1.5) + 1e-9)):
-            at, bits = f.places(np.array([key]), k, f.shift)
-            np.bitwise_or.at(words, at, bits)
-    got = f.count(keys, 1)
-    assert (got >= counts / 1.6).all() and (got <= counts * 1.6).all()
-    assert (f.count(keys + np.uint64(1), 1) == 0).all()
+    rng = np.random.default_rng(1)
+    counts = np.concatenate([rng.integers(1, 4, 5000), [5, 40, 1000, 10**6]])
+    keys = bloom_lm.mix(np.arange(1, 1 + len(counts)).astype(np.uint64))
+    config = bloom_lm.Config(bits_per_key=200)
+    q = bloom_lm.levels_of(counts, config.base)
+    f = bloom_lm.filled(keys, q, config)
+    assert (f.levels(keys) >= q).all() and (f.levels(keys) == q).mean() > 0.99
+    got = bloom_lm.middles(config.base)[q]
+    assert (got[counts <= 3] == counts[counts <= 3]).all() and (got >= counts / 1.3).all() and (got <= counts * 1.3).all()
+    assert (f.levels(keys + np.uint64(1)) > 0).mean() < 0.01
+    assert not bloom_lm.filled(keys[:0], q[:0], config).levels(keys).any()
+
+
+def test_packed_keys_and_counts():
+    keys = np.sort(bloom_lm.mix(np.arange(1000).astype(np.uint64)))
+    assert (bloom_lm._unpacked(bloom_lm._packed(keys)) == keys & bloom_lm._LOW).all()
+    counts = np.array([1, 255, 256, 700, 10**6, 2])
+    k, c = bloom_lm._small(keys[:6], counts)
+    k, c = bloom_lm._merged([k], [c.astype(np.int64)])
+    assert (k == keys[:6]).all() and (c == counts).all()
+    share, first, last = bloom_lm._bounds(keys, 7)
+    assert share.tolist() == list(range(7)) and first[0] == 0 and last[-1] == 1000 and (first[1:] == last[:-1]).all()
 
 
 def test_lm_empty(no_docs, odd_docs):
@@ -239,24 +250,32 @@ def test_lm_empty(no_docs, odd_docs):
     assert len(got) == len(ODD) and all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in got)
 
 
-def brute_lm(train, test, delta=0.1, base=1.5):
-    """Witten-Bell scores of ``test`` from all words and bigrams of ``train``, with counts to their level."""
+def counts_of(train):
     tokens = lambda t: [*re.findall(WORD, low(t)), None]
     words, pairs = Counter(), Counter()
     for t in train:
         ws = tokens(t)
         words.update(ws)
         pairs.update(zip(["begin", *ws], ws, strict=False))
-    ahead, follow = Counter(), Counter()
-    for (h, _), c in pairs.items():
-        ahead[h] += c
-        follow[h] += 1
-    level = lambda c: max(1.0, base ** int(math.log(c) / math.log(base) + 1e-9) * (1 + base) / 2) if c else 0.0
+    return words, pairs, len(train)
+
+
+def brute_lm(words, pairs, n_texts, test, delta=0.1, base=1.5):
+    """The definition's scores of ``test`` from all words and bigrams, with counts to the mean of their level."""
+    tokens = lambda t: [*re.findall(WORD, low(t)), None]
+
+    def level(c):
+        same = [x for x in range(1, 2 * c + 2) if int(math.log(x) / math.log(base) + 1e-9) == int(math.log(c) / math.log(base) + 1e-9)] if c else []
+        return (same[0] + same[-1]) / 2 if c else 0
+
+    means = {c: level(c) for c in {0, *pairs.values()} if c < 10_000}
     mass = sum(words.values()) + delta * (len(words) + 1)
 
     def p(h, w):
+        ahead = n_texts if h == "begin" else words[h]
         low = (words[w] + delta) / mass
-        return (min(level(pairs[h, w]), ahead[h]) + follow[h] * low) / (ahead[h] + follow[h]) if ahead[h] else low
+        t = 2.0 * ahead**0.75
+        return (min(means[pairs[h, w]], ahead, words[w]) + t * low) / (ahead + t) if ahead else low
 
     return [sum(math.log10(p(h, w)) for h, w in zip(["begin", *tokens(t)], tokens(t), strict=False)) for t in test]
 
@@ -264,22 +283,50 @@ def brute_lm(train, test, delta=0.1, base=1.5):
 def test_lm_tells_all_words_apart(spark):
     train = [prose(i, 150) for i in range(20)] + [f"begin{i} rare{i} word{i}" for i in range(300)] * 2
     test = [prose(100, 80), *(f"begin{i} rare{i} word{i}" for i in range(0, 300, 10)), "begin1 word2 rare3", "never seen", ""]
-    expected = brute_lm(train, test)
+    expected = brute_lm(*counts_of(train), test)
     docs = spark.createDataFrame(list(enumerate(test)), "doc_id long, text string")
     texts = spark.createDataFrame([(t,) for t in train], "text string")
     # few false hits: the filter is given room
-    for config in (bloom_lm.Config(bits_per_key=200), bloom_lm.Config(table_words=30, table_bigrams=50, model_words=20, bits_per_key=200, share_entries=500)):
+    for config in (bloom_lm.Config(bits_per_key=200), bloom_lm.Config(table_words=30, bits_per_key=200, share_bytes=500, block_bytes=300), bloom_lm.Config(table_words=0, bits_per_key=200)):
         got = {r.doc_id: r.score for r in bloom_lm.score(docs, texts, config).collect()}
         assert [got[i] for i in range(len(test))] == pytest.approx(expected, abs=2e-3)
 
 
+def test_lm_probabilities_sum_to_one():
+    train = [prose(i, 12) for i in range(6)]
+    words, pairs, n_texts = counts_of(train)
+    model = bloom_lm.Model(bloom_lm.Config(), 1, sum(words.values()), len(words), n_texts, None, None)
+    for h in ["begin", *[w for w in words if w]]:
+        ahead = n_texts if h == "begin" else words[h]
+        c = np.array([*words.values(), 0], float)  # and all that is unknown
+        found = np.array([*(pairs[h, w] for w in words), 0], float)
+        logs = bloom_lm.log_probability(found, c, np.full(len(c), float(ahead)), model)
+        assert np.power(10, logs).sum() == pytest.approx(1, abs=1e-9)
+
+
 def test_lm_keeps_single_bigrams_of_large_input(spark):
-    """Over 2**24 training tokens a bigram of count 1 is still known."""
+    """Over 2**24 training tokens a bigram of count 1 is still known, and its text scores by the definition."""
     many = spark.range(0, 340, 1, 4).select(F.repeat(F.lit("a "), 50_000).alias("text"))
-    model, _, entries = bloom_lm.train(many.unionByName(spark.createDataFrame([("single words here",)], "text string")))
-    assert model.tokens > 1 << 24
-    # begin-a, a-a, a-end and begin-single, single-words, words-here, here-end
-    assert entries.count() == 7 and entries.where("q = 1").count() == 4
+    train = many.unionByName(spark.createDataFrame([("single words here",)], "text string"))
+    words, pairs, _ = counts_of(["single words here"])
+    words.update({"a": 17_000_000, None: 340})
+    pairs.update({("begin", "a"): 340, ("a", "a"): 16_999_660, ("a", None): 340})
+    docs = spark.createDataFrame([(1, "single words here"), (2, "here words single")], "doc_id long, text string")
+    got = {r.doc_id: r for r in bloom_lm.score(docs, train, bloom_lm.Config(bits_per_key=200)).collect()}
+    assert got[1].train_tokens > 1 << 24
+    expected = brute_lm(words, pairs, 341, ["single words here", "here words single"])
+    assert [got[1].score, got[2].score] == pytest.approx(expected, abs=2e-3) and got[1].score > got[2].score + 3
+
+
+def test_lm_with_repeated_and_very_long_texts(spark):
+    long = prose(9, 60_000)
+    rows = [(1, long), (2, "a b"), (2, "a b"), (None, None)] + [(i, prose(i, 30)) for i in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = bloom_lm.score(docs, docs, bloom_lm.Config(block_bytes=2000, share_bytes=4000, bits_per_key=200)).collect()
+    expected = brute_lm(*counts_of([t for _, t in rows]), [t for _, t in rows])
+    by_id = lambda pairs: [x for _, x in sorted(pairs)]
+    assert by_id((str(r.doc_id), r.score) for r in got) == pytest.approx(by_id((str(i), x) for (i, _), x in zip(rows, expected, strict=True)), rel=1e-3)
+    assert [r.score for r in got if r.doc_id == 2] == [got[[r.doc_id for r in got].index(2)].score] * 2
 
 
 # -- chat
