@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import intermediate, lasting, measured, stored
+from .scratch import discard, intermediate, lasting, measured, stored
 from .textarrays import SPACED, Texts, chunks, mix, sequence_hash
 
 #: Counters of the frequency order: 4 bytes each in the broadcast, at every size of the input.
@@ -209,8 +209,8 @@ def _roots(links: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(met, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
 
 
-def _placed(x: str) -> list[Column]:
-    return [F.shiftright("place", 32).alias(f"{x}_pos"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias(f"{x}_n")]
+def _placed(x: str, place: str) -> list[Column]:
+    return [F.shiftright(place, 32).alias(f"{x}_pos"), F.col(place).bitwiseAND(F.lit((1 << 32) - 1)).alias(f"{x}_n")]
 
 
 def _fits(a: str, b: str, percent: int) -> Column:
@@ -249,30 +249,46 @@ def _similarity_classes(docs: DataFrame, width: int, percent: int, keys: bool) -
     of_rep = lambda df, of: df.join(of.hint("shuffle_hash"), df["doc_id"].eqNullSafe(of["rep"]) & (df["text_hash"] == of["rep_hash"]))
     reps = of_rep(filled.drop("cid"), classes).select("cid", "n_shingles", "tokens", "second", "third")
     reps = stored(reps.mapInArrow(_once("cid"), "cid long, n_shingles long, tokens array<long>, second array<int>, third array<int>"), "reps")
+    whole, sets = sets, stored(sets.drop("tokens", "second", "third"), "rows")
+    discard(whole)
 
     rows = reps.select("cid", "n_shingles", F.posexplode("tokens").alias("pos", "token"))
     # a row of the index: a place and a size share one number, which keeps the shuffle small
     rows = rows.select("token", "cid", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n_shingles")).alias("place"))
-    meet = rows.groupBy("token").agg(F.min("cid").alias("pivot"), F.max("cid").alias("other")).where("pivot <> other").select("token", "pivot")
-    paired = stored(rows.join(meet, "token").where("cid <> pivot"), "paired")
-    wanted = paired.select(F.explode(F.array("cid", "pivot")).alias("cid")).distinct()
-    bodies = of_rep(texts, classes.join(wanted, "cid", "left_semi")).select("cid", "text")
-    bodies = stored(bodies.mapInArrow(_once("cid"), "cid long, text string"), "bodies")
-
-    found = _verified(bodies, reps, paired.select(F.col("pivot").alias("a"), F.col("cid").alias("b")), width, percent)
-    links = stored(found, "links-first")
+    meet = rows.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("token")
+    shared = stored(rows.join(meet, "token"), "shared")
+    # the class in which a token stands furthest ahead has the fewest tokens of its own: of near copies, the original
+    pivots = shared.groupBy("token").agg(F.min(F.struct("place", "cid")).alias("pivot"))
+    paired = shared.join(pivots, "token").where(F.col("cid") != F.col("pivot.cid"))
+    paired = stored(paired.select("token", "cid", F.col("pivot.cid").alias("pivot"), *_placed("s", "place"), *_placed("p", "pivot.place")), "paired")
+    discard(shared)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The links (u, v) among candidate pairs (a, b) of classes, a the one that many pairs may share."""
+        agreed = stored(_agreed(reps, pairs), "agreed")
+        wanted = agreed.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        bodies = of_rep(texts, classes.join(wanted, "cid", "left_semi")).select("cid", "text")
+        bodies = stored(bodies.mapInArrow(_once("cid"), "cid long, text string"), "bodies")
+        body = lambda x, column: bodies.select(F.col("cid").alias(x), F.col("text").alias(column))
+        # b's text comes first: the rows of a frequent a are then large enough for adaptive execution to split them
+        full = agreed.join(body("b", "right"), "b").join(body("a", "left"), "a").select("a", "b", "left", "right")
+        links = stored(full.mapInArrow(_verify(width, percent), "u long, v long"), name)
+        discard(bodies)
+        return links
+
+    links = verified(paired.where(_fits("s", "p", percent)).select(F.col("pivot").alias("a"), F.col("cid").alias("b")), "links-first")
     # one round joins the stars around pivots; equal labels mean one component
     labels = stored(_star_round(_ordered(links)).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")), "labels")
 
-    rest = paired.select("token", F.col("cid").alias("s_cid"), *_placed("s"))
+    rest = paired.select("token", F.col("cid").alias("s_cid"), "s_pos", "s_n")
     rest = rest.join(labels, rest["s_cid"] == labels["node"], "left").select("token", "s_cid", "s_pos", "s_n", F.coalesce("label", "s_cid").alias("s_label"))
     undone = rest.groupBy("token").agg(F.min("s_label").alias("lo"), F.max("s_label").alias("hi")).where("lo <> hi").select("token")
     rest, left = measured(rest.join(undone, "token"), "rest", F.count("*").alias("n"))
     if left["n"]:
         other = rest.select("token", *(F.col(c).alias("o" + c[1:]) for c in rest.columns[1:]))
         pairs = rest.join(other, (rest["token"] == other["token"]) & (F.col("s_label") < F.col("o_label")) & _fits("s", "o", percent))
-        found = _verified(bodies, reps, pairs.select(F.least("s_cid", "o_cid").alias("a"), F.greatest("s_cid", "o_cid").alias("b")), width, percent)
-        links = links.unionByName(stored(found, "links-rest"))
+        more = verified(pairs.select(F.least("s_cid", "o_cid").alias("a"), F.greatest("s_cid", "o_cid").alias("b")), "links-rest")
+        links = links.unionByName(more)
     roots = stored(_roots(links, labels), "roots")
 
     named = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "rep", "rep_hash", F.coalesce("root", "cid").alias("root"))
@@ -286,15 +302,8 @@ def _similarity_classes(docs: DataFrame, width: int, percent: int, keys: bool) -
     return lasting(out, "classes")
 
 
-def _verified(bodies: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links (u, v) among candidate pairs (a, b) of classes, a the one that many pairs may share.
-
-    Pairs whose prefixes do not meet under every further order end here; of the others the whole texts
-    are compared. The text of b is joined first: the rows of a frequent a are then large enough for
-    adaptive execution to split them.
-    """
+def _agreed(reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes meet under every further order."""
     of = lambda x: reps.select(F.col("cid").alias(x), F.col("second").alias(f"{x}2"), F.col("third").alias(f"{x}3"))
-    agreed = pairs.distinct().join(of("b"), "b").join(of("a"), "a").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
-    body = lambda x, name: bodies.select(F.col("cid").alias(x), F.col("text").alias(name))
-    full = agreed.join(body("b", "right"), "b").join(body("a", "left"), "a").select("a", "b", "left", "right")
-    return full.mapInArrow(_verify(width, percent), "u long, v long")
+    both = pairs.distinct().join(of("b"), "b").join(of("a"), "a")
+    return both.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")

@@ -13,10 +13,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _RUN = uuid.uuid4().hex[:12]
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -53,6 +55,12 @@ def lasting(df: DataFrame, name: str) -> DataFrame:
     return _write(df, name, _OPEN[-2] if len(_OPEN) > 1 else None)
 
 
+def discard(df: DataFrame) -> None:
+    """Drops a table of ``stored`` that nothing reads any more; a lost one costs nothing but its disk."""
+    if df in _PATHS:
+        _remove(df.sparkSession, _PATHS.pop(df))
+
+
 def measured(df: DataFrame, name: str, *figures: Column) -> tuple[DataFrame, Row]:
     """As ``stored``, with aggregates over all rows that the same pass has made."""
     seen = Observation()
@@ -71,7 +79,9 @@ def _write(df: DataFrame, name: str, owner: list[str] | None) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 _OPEN: list[list[str]] = []

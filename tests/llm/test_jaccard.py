@@ -90,6 +90,21 @@ def test_odd_rows(spark, odd_docs):
     assert result(joined(clash(odd_docs, "n_shingles", "component_id", "cid", "token"))) == brute(rows)
 
 
+def test_repeated_rows_ids_and_null_ids(spark):
+    """A thousand repeats of a row, texts under one id, and rows without an id: each is linked by its own text."""
+    a, b = prose(1, 120), " ".join([*prose(1, 119).split(), "end"])
+    got = joined(spark.createDataFrame([(1, a)] * 1000 + [(2, b)] * 1000, "doc_id long, text string")).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1000), (2, 1, 1000)]
+    half = prose(2, 60)
+    texts = [f"{half} {prose(100 + i, 60)}" for i in range(1000)] + [f"{half} {prose(100 + i, 60)} more" for i in range(0, 1000, 100)]
+    for doc_id in (5, None):
+        rows = [(doc_id, t) for t in texts] + [(6, texts[3])]
+        got = joined(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "component_id").count().collect()
+        # the copy of id 6 links with one row of the others: ids compare, so theirs is the class of that row alone where it is null
+        expected = {(5, 5, 1010), (6, 5, 1)} if doc_id else {(None, None, 1009), (None, 6, 1), (6, 6, 1)}
+        assert {tuple(r) for r in got} == expected
+
+
 def test_empty(no_docs):
     assert joined(no_docs).collect() == []
 
