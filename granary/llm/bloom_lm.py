@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import DEALT, dealt, finished, in_blocks, rows_of
 from .hashindex import HashIndex, Tally
 from .scratch import intermediate, lasting, stored
 from .textarrays import Texts, chunks, mix
@@ -139,9 +139,6 @@ class _Gathered:
 
 # -- training
 
-_DEALT = "share int, kind int, block long, keys binary, more binary"
-
-
 def _dealt(keys: np.ndarray, counts: np.ndarray, shares: int, pack, kind: int) -> pa.RecordBatch:
     share, first, last = _bounds(keys, shares)
     blobs, more = [], []
@@ -149,8 +146,7 @@ def _dealt(keys: np.ndarray, counts: np.ndarray, shares: int, pack, kind: int) -
         k, c = _small(keys[a:b], counts[a:b])
         blobs.append(pack(k))
         more.append(c.tobytes())
-    n = len(share)
-    return pa.RecordBatch.from_arrays([pa.array(share), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, -1, np.int64)), pa.array(blobs, pa.binary()), pa.array(more, pa.binary())], ["share", "kind", "block", "keys", "more"])
+    return dealt(share, kind, -1, blobs, more)
 
 
 def _counted(keys_of, shares: int, pack, kind: int):
@@ -222,7 +218,7 @@ def train(training: DataFrame, docs: DataFrame, config: Config | None = None) ->
     (size, n_texts), (other, _) = bytes_of(texts), bytes_of(docs)
     spark = training.sparkSession
     shares = min(1 << 24, max(spark.sparkContext.defaultParallelism, (size + other) // config.share_bytes))
-    words = texts.mapInArrow(_counted(lambda tokens, doc: tokens, shares, lambda k: k.tobytes(), 1), _DEALT).repartitionById(shares, "share")
+    words = texts.mapInArrow(_counted(lambda tokens, doc: tokens, shares, lambda k: k.tobytes(), 1), DEALT).repartitionById(shares, "share")
     words = stored(words.mapInArrow(_words, "share int, keys binary, more binary, types long, tokens long, sizes array<long>"), "words")
     v, n = words.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     # whole steps of the largest counts, as many as the table has room for
@@ -235,7 +231,7 @@ def train(training: DataFrame, docs: DataFrame, config: Config | None = None) ->
         least = r["step"]
     known = words.select("keys", "more").mapInArrow(_at_least(least), "h long, c long").toArrow()
     table = HashIndex(known.column("h").to_numpy().view(np.uint64))
-    pairs = texts.mapInArrow(_counted(lambda tokens, doc: _bigrams(_contexts(tokens, doc), tokens), shares, _packed, 0), _DEALT)
+    pairs = texts.mapInArrow(_counted(lambda tokens, doc: _bigrams(_contexts(tokens, doc), tokens), shares, _packed, 0), DEALT)
     return Model(config, shares, n, v, n_texts, table, known.column("c").to_numpy()), words, pairs
 
 
@@ -300,39 +296,11 @@ def filled(keys: np.ndarray, q: np.ndarray, config: Config) -> BloomCounts:
 # -- scoring: blocks of texts, their probes, the answers, and the scores of a block
 
 
-def _blocks(limit: int):
-    """Rows gathered into blocks of about ``limit`` bytes of text, each one value."""
-
-    def run(batches):
-        held, size, n = [], 0, 0
-        task = TaskContext.get().partitionId() << 32
-
-        def block():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for b in held:
-                    out.write_batch(b)
-            return pa.RecordBatch.from_arrays([pa.array([task + n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
-
-        for batch in batches:
-            for lo, hi in chunks(batch.column(batch.schema.get_field_index("text"))):
-                part = batch.slice(lo, hi - lo)
-                held.append(part)
-                size += part.column(part.schema.get_field_index("text")).nbytes + 16 * len(part)
-                if size >= limit:
-                    yield block()
-                    held, size, n = [], 0, n + 1
-        if held:
-            yield block()
-
-    return run
-
-
 class _Block:
     """The rows of a block, and their tokens and contexts as places among its distinct words."""
 
     def __init__(self, data: bytes, model: Model):
-        self.rows = pa.ipc.open_stream(data).read_all()
+        self.rows = rows_of(data)
         tokens, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         done = 0
         for x in self.rows.column("text").chunks:
@@ -362,8 +330,7 @@ def _probes(sent):
                 for i, (keys, pack) in enumerate(((np.unique(block.keys), _packed), (block.rare(), np.ndarray.tobytes))):
                     for share, a, b in zip(*(x.tolist() for x in _bounds(keys, model.shares)), strict=True):
                         asked.setdefault(share, [b"", b""])[i] = pack(keys[a:b])
-                n = len(asked)
-                yield pa.RecordBatch.from_arrays([pa.array(list(asked), pa.int32()), pa.array(np.full(n, 2, np.int32)), pa.array(np.full(n, number, np.int64)), pa.array([x[0] for x in asked.values()], pa.binary()), pa.array([x[1] for x in asked.values()], pa.binary())], ["share", "kind", "block", "keys", "more"])
+                yield dealt(list(asked), 2, number, [x[0] for x in asked.values()], [x[1] for x in asked.values()])
 
     return run
 
@@ -410,9 +377,10 @@ _NEW = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def _scores(sent, names: list[str]):
-    """The rows of each block with their scores, from its data and the answers to its probes."""
+    """The rows of a block with their scores, from its data and the answers to its probes."""
 
-    def scored(data: bytes, levels: list[bytes], counts: list[bytes], model: Model):
+    def finish(data: bytes, levels: list[bytes], counts: list[bytes]):
+        model = sent.value
         block = _Block(data, model)
         n = block.rows.num_rows
         total = lambda x=None: np.bincount(block.doc, x, n)
@@ -432,22 +400,7 @@ def _scores(sent, names: list[str]):
             rows = rows.append_column(name, pa.array(x))
         yield from rows.to_batches()
 
-    def run(batches):
-        model = sent.value
-        now = None
-        for batch in batches:
-            for number, share, levels, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if share < 0:
-                    if now is not None:
-                        yield from scored(*now, model)
-                    now = (levels, [], [])
-                else:
-                    now[1].append(levels)
-                    now[2].append(counts)
-        if now is not None:
-            yield from scored(*now, model)
-
-    return run
+    return finish
 
 
 def score(docs: DataFrame, training: DataFrame, config: Config | None = None) -> DataFrame:
@@ -467,16 +420,12 @@ def score(docs: DataFrame, training: DataFrame, config: Config | None = None) ->
 def _scored(docs: DataFrame, model: Model, words: DataFrame, pairs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    # small row groups: a reader holds one of them at once
-    blocks = stored(docs.mapInArrow(_blocks(model.config.block_bytes), "block long, data binary"), "blocks")
-    probes = blocks.mapInArrow(_probes(sent), _DEALT)
+    blocks = in_blocks(docs, model.config.block_bytes)
+    probes = blocks.mapInArrow(_probes(sent), DEALT)
     held = words.select("share", F.lit(1).alias("kind"), F.lit(-1).cast("long").alias("block"), "keys", "more")
-    dealt = pairs.unionByName(held).unionByName(probes).repartitionById(model.shares, "share").sortWithinPartitions("share", "kind")
+    gathered = pairs.unionByName(held).unionByName(probes).repartitionById(model.shares, "share").sortWithinPartitions("share", "kind")
     form = "block long, share int, levels binary, counts binary"
-    answers = stored(dealt.mapInArrow(_answers(model.config), form), "answers")
-    data = blocks.select("block", F.lit(-1).alias("share"), F.col("data").alias("levels"), F.lit(b"").alias("counts"))
-    # the answers of a block, share by share, follow its texts
-    gathered = data.unionByName(answers).repartition("block").sortWithinPartitions("block", "share")
+    answers = stored(gathered.mapInArrow(_answers(model.config), form), "answers")
     names = [c for c in docs.columns if c != "text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
-    return gathered.mapInArrow(_scores(sent, names), schema)
+    return finished(blocks, answers, _scores(sent, names), schema)

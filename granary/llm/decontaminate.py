@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import discard, stored
 from .textarrays import ALNUM, Texts, Words, chunks
 
 #: Pattern bytes of one search pass; a larger benchmark is searched in several passes.
@@ -91,8 +92,8 @@ class _Tables:
 class WuManber:
     """Patterns by class of length, so that one short pattern does not shorten every shift."""
 
-    def __init__(self, patterns: dict[bytes, list[str]]):
-        self.items = list(patterns.values())
+    def __init__(self, patterns: dict[bytes, dict[str, None]]):
+        self.items = [list(p) for p in patterns.values()]
         self.words = [p.count(b" ") - 1 for p in patterns]
         classes: dict[int, tuple[list[bytes], list[int]]] = defaultdict(lambda: ([], []))
         for i, p in enumerate(patterns):
@@ -119,17 +120,16 @@ def framed(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(benchmark: DataFrame, width: int, limit: int) -> Iterator[WuManber]:
-    patterns: dict[bytes, list[str]] = {}
+    """Searches for the windows of all items, each of about ``limit`` bytes of patterns; made one at a time."""
+    patterns: dict[bytes, dict[str, None]] = {}
     total = 0
     for row in benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null and text is not null").toLocalIterator():
         for w in item_windows(row["text"], width):
-            owners = patterns.setdefault(w, [])
-            if row["item_id"] not in owners:
-                owners.append(row["item_id"])
+            patterns.setdefault(w, {})[row["item_id"]] = None
             total += len(w) + 64
-        if total >= limit:
-            yield WuManber(patterns)
-            patterns, total = {}, 0
+            if total >= limit:  # the rest of an item goes to the next block
+                yield WuManber(patterns)
+                patterns, total = {}, 0
     if patterns:
         yield WuManber(patterns)
 
@@ -180,13 +180,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 8, block_b
     the item_ids with an occurring window, sorted as strings. A null or empty text has no words; items of
     a null id or text, or without a word, never occur; copies of an item count once. Rows stay as they
     are, repeated ones too; a column named like a result is replaced. Patterns beyond ``block_bytes`` are
-    searched in further passes, each with its own tables, so what is broadcast stays bounded.
+    searched in further passes, each with its own tables and written before the next, so what is broadcast
+    and what the driver holds stay bounded.
     """
     docs = docs.drop(*_STATE, "n_hit").withColumns({c: F.lit(None).cast(t) for c, t in _STATE.items()})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs
-    for block in [*_blocks(benchmark, width, block_bytes)] or [WuManber({})]:
-        out = out.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(block)), schema)
+    out, sent, held = docs, None, None
+    for block in _blocks(benchmark, width, block_bytes):
+        if sent:  # a pass is written before the tables of the next are sent, so one block is held at a time
+            held, before = stored(out, "searched"), held
+            sent.unpersist()
+            if before:
+                discard(before)
+            out = held
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        out = out.mapInArrow(_search(sent), schema)
+    if not sent:
+        out = out.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(WuManber({}))), schema)
     span = F.zip_with("hit_start", "hit_end", lambda s, e: (e - s).cast("long"))
     return out.withColumn("n_hit", F.aggregate(span, F.lit(0).cast("long"), lambda a, x: a + x))
 

@@ -2,12 +2,12 @@
 
 The model is an n-gram model over bytes. Counts of the highest order, continuation counts of the lower
 ones, three discounts an order from counts of counts, and the interpolated probabilities are all made
-by Spark joins and aggregations. For scoring, the table is cut into shards by the byte before the one
-that is predicted: everything a position needs (its n-grams, its contexts, its shorter n-grams) lies in
-one shard, so each shard is broadcast in turn, joined with the positions it owns, and the partial sums
-add up to a document's log-probability. Thresholds are the median of trusted text that the model has not
-seen and a number of median deviations above it, language by language, so a few odd documents among the
-trusted ones do not move them.
+by Spark joins and aggregations. For scoring, the tables are dealt into shards by the two bytes before the
+one that is predicted, and so are the distinct n-grams of each block of texts: all that a position needs
+(its n-grams, its contexts, its shorter n-grams) meets it in one shard, whose task joins them and sends the
+log-probabilities back to the block. Only n-grams of one and two bytes, at most 66 thousand, are broadcast.
+Thresholds are the median of trusted text that the model has not seen and a number of median deviations
+above it, language by language, so a few odd documents among the trusted ones do not move them.
 """
 
 from __future__ import annotations
@@ -19,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import DEALT, dealt, finished, in_blocks, rows_of
 from .hashindex import HashIndex, Tally
 from .scratch import intermediate, lasting, stored
 from .textarrays import Texts, chunks
 
 ORDER = 5
 END = 3  # a byte that ends each text
-#: Entries of one broadcast: about 50 bytes each in a worker.
-SHARD_ENTRIES = 1 << 21
-_BITS = 40
+#: Entries of one shard, about: some 50 bytes each in a worker. Those of two bytes stay together.
+SHARD_ENTRIES = 1 << 19
+BLOCK_BYTES = 8 << 20
+_TWO = np.uint64(0xFFFF)
 
 
 def _codes(column: pa.Array, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -113,27 +115,38 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     return stored(model, "model")
 
 
-class Shard:
-    """The part of a model that positions after certain bytes need."""
+_ROW = np.dtype([("n", "<i4"), ("context", "<i4"), ("key", "<u8"), ("value", "<f8")])
 
-    def __init__(self, table: pa.Table, owns: np.ndarray, order: int):
-        n, context, key, value = (table.column(c).to_numpy() for c in ("n", "context", "key", "value"))
-        self.owns, self.order = owns, order
-        self.single = np.full(256, np.log10(1e-9))
-        self.grams, self.contexts = {}, {}
-        for k in range(0, order + 1):
-            for is_context, out in ((False, self.grams), (True, self.contexts)):
-                pick = (n == k) & (context == is_context)
-                out[k] = (HashIndex(key[pick].astype(np.uint64)), value[pick].astype(np.float32))
-        index, values = self.grams[1]
-        gamma = self.contexts[0][1]
-        self.single[:] = float(gamma[0]) - np.log10(256) if len(gamma) else -np.log10(257)
-        self.single[index.keys.astype(np.int64)] = values
+
+def _rows(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    out = np.zeros(table.num_rows, _ROW)
+    for c in _ROW.names:
+        out[c] = table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c).to_numpy()
+    return out
+
+
+def _shard(two: np.ndarray, shards: int) -> np.ndarray:
+    """Where the n-grams go that have these two bytes before the predicted one."""
+    return (((two & _TWO) * np.uint64(40503) & _TWO) * np.uint64(shards) >> np.uint64(16)).astype(np.int64)
+
+
+class Scorer:
+    """Log-probabilities from the rows of a model that belong together, and the short ones that all need."""
+
+    def __init__(self, rows: np.ndarray, order: int):
+        self.order = order
+        pick = lambda n, context: rows[(rows["n"] == n) & (rows["context"] == context)]
+        index = lambda x: (HashIndex(x["key"]), x["value"].astype(np.float32))
+        self.grams = {n: index(pick(n, 0)) for n in range(2, order + 1)}
+        self.contexts = {n: index(pick(n, 1)) for n in range(1, order)}
+        gamma, one = pick(0, 1)["value"], pick(1, 0)
+        self.single = np.full(256, float(gamma[0]) - np.log10(256) if len(gamma) else -np.log10(257))
+        self.single[one["key"].astype(np.int64)] = one["value"]
 
     def score(self, code: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each position; 0 where another shard owns it."""
+        """log10 of the probability of the last byte of each n-gram."""
         out = np.zeros(len(code))
-        live = np.flatnonzero(self.owns[((code >> np.uint64(8)) & np.uint64(255)).astype(np.int64)])
+        live = np.arange(len(code))
         for n in range(self.order, 1, -1):
             if not len(live):
                 return out
@@ -151,54 +164,113 @@ class Shard:
         return out
 
 
-def _shards(model: DataFrame, limit: int, order: int) -> Iterator[Shard]:
-    """Shards of about ``limit`` entries: bytes are put together, a frequent one stands alone."""
-    before = F.when(F.col("context"), F.col("key")).otherwise(F.shiftrightunsigned("key", 8)).bitwiseAND(F.lit(255))
-    model = model.withColumn("before", F.when((F.col("n") < 1) | ((F.col("n") == 1) & ~F.col("context")), F.lit(-1)).otherwise(before))
-    sizes = {r["before"]: r["n_"] for r in model.groupBy("before").agg(F.count("*").alias("n_")).collect()}
-    groups, room = [[]], limit
-    for b in range(256):
-        if sizes.get(b, 0) > room and groups[-1]:
-            groups.append([])
-            room = limit
-        groups[-1].append(b)
-        room -= sizes.get(b, 0)
-    for g in groups:
-        owns = np.zeros(256, dtype=bool)
-        owns[g] = True
-        yield Shard(model.where(F.col("before").isin([-1, *g])).select("n", "context", "key", "value").toArrow(), owns, order)
-
-
-def _score(model, order: int):
+def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    for at in np.split(order, cuts) if len(order) else []:
+        yield int(shard[at[0]]), at
+
+
+def _pack_model(shards: int):
     def run(batches):
-        shard = model.value
         for batch in batches:
-            names = batch.schema.names
-            column = batch.column(names.index("text"))
-            total = batch.column(names.index("log10_p")).to_numpy(zero_copy_only=False).copy()
-            size = np.zeros(len(batch), np.int64)
-            for lo, code, owner in _codes(column, order):
-                n = int(owner[-1]) + 1 if len(owner) else 0
-                total[lo : lo + n] += np.bincount(owner, shard.score(code), n)
-                size[lo : lo + n] = np.bincount(owner, minlength=n)
-            new = {"log10_p": pa.array(total), "n_symbols": pa.array(size)}
-            yield pa.RecordBatch.from_arrays([new.get(c, x) for c, x in zip(names, batch.columns, strict=True)], names)
+            rows = _rows(batch)
+            two = np.where(rows["context"] == 1, rows["key"], rows["key"] >> np.uint64(8))
+            parts = list(_by_shard(_shard(two, shards)))
+            yield dealt([k for k, _ in parts], 0, -1, [rows[at].tobytes() for _, at in parts], [b""] * len(parts))
 
     return run
 
 
-def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+def _block_codes(rows: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram of every position of a block's texts, and its row."""
+    codes, owners, done = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for x in rows.column("text").chunks:
+        for lo, code, owner in _codes(x, order):
+            codes.append(code)
+            owners.append(done + lo + owner)
+        done += len(x)
+    return np.concatenate(codes), np.concatenate(owners)
+
+
+def _in_shards(codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, shard by shard, and the shard of each."""
+    distinct = np.unique(codes)
+    shard = _shard(distinct >> np.uint64(8), shards)
+    order = np.argsort(shard, kind="stable")
+    return distinct[order], shard[order]
+
+
+def _ask(order: int, shards: int):
+    def run(batches):
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                codes, shard = _in_shards(_block_codes(rows_of(data.as_py()), order)[0], shards)
+                parts = list(_by_shard(shard))
+                # the bytes of an n-gram, no more
+                pack = lambda x: np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :order].tobytes()
+                yield dealt([k for k, _ in parts], 1, number, [pack(codes[at]) for _, at in parts], [b""] * len(parts))
+
+    return run
+
+
+def _answer(short, order: int):
+    def run(batches):
+        now, rows, scorer = None, [], None
+        for batch in batches:
+            out = [], [], []
+            for share, kind, block, keys in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if share != now:
+                    now, rows, scorer = share, [short.value], None
+                if kind == 0:
+                    rows.append(np.frombuffer(keys, _ROW))
+                    continue
+                if scorer is None:
+                    scorer, rows = Scorer(np.concatenate(rows), order), []
+                codes = np.zeros((len(keys) // order, 8), np.uint8)
+                codes[:, :order] = np.frombuffer(keys, np.uint8).reshape(-1, order)
+                for column, x in zip(out, (block, share, scorer.score(codes.view("<u8").ravel()).astype(np.float32).tobytes()), strict=True):
+                    column.append(x)
+            n = len(out[0])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array([b""] * n, pa.binary())], ["block", "share", "log10_p", "none"])
+
+    return run
+
+
+def _summed(names: list[str], order: int, shards: int):
+    def finish(data: bytes, answers: list[bytes], _):
+        rows = rows_of(data)
+        codes, owner = _block_codes(rows, order)
+        distinct, _ = _in_shards(codes, shards)
+        values = np.frombuffer(b"".join(answers), np.float32).astype(np.float64)
+        total = np.bincount(owner, values[HashIndex(distinct).find(codes)], rows.num_rows)
+        size = np.bincount(owner, minlength=rows.num_rows)
+        out = rows.select(names).combine_chunks().append_column("log10_p", pa.array(total)).append_column("n_symbols", pa.array(size.astype(np.int64)))
+        yield from out.to_batches()
+
+    return finish
+
+
+def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_entries: int = SHARD_ENTRIES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without text, with log10_p, n_symbols (bytes and the end) and perplexity of whole texts.
 
-    A null or empty text has a perplexity of null.
+    A null or empty text has a perplexity of null. Rows stay as they are, repeated ones too; clashing
+    columns are replaced.
     """
+    spark = docs.sparkSession
     columns = [c for c in docs.columns if c not in ("text", "log10_p", "n_symbols", "perplexity")]
-    out = docs.select(*columns, "text", F.lit(0.0).alias("log10_p"), F.lit(0).cast("long").alias("n_symbols"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    for shard in _shards(model, shard_entries, order):
-        out = out.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(shard), order), schema)
-    filled = F.length(F.coalesce("text", F.lit(""))) > 0
-    return out.select(*columns, "log10_p", "n_symbols", F.when(filled, F.pow(F.lit(10.0), -F.col("log10_p") / F.col("n_symbols"))).alias("perplexity"))
+    model = model.withColumn("context", F.col("context").cast("int"))
+    # contexts of at most one byte and n-grams of at most two: 2 * 256 + 256 ** 2 rows and one at most
+    brief = F.col("n") < F.when(F.col("context") == 1, 2).otherwise(3)
+    short = spark.sparkContext.broadcast(_rows(model.where(brief).toArrow()))
+    shards = min(1 << 16, max(spark.sparkContext.defaultParallelism, model.count() // shard_entries))
+    blocks = in_blocks(docs.select(*columns, "text"), block_bytes)
+    asked = model.where(~brief).mapInArrow(_pack_model(shards), DEALT).unionByName(blocks.mapInArrow(_ask(order, shards), DEALT))
+    gathered = asked.repartitionById(shards, "share").sortWithinPartitions("share", "kind")
+    answers = stored(gathered.mapInArrow(_answer(short, order), "block long, share int, log10_p binary, none binary"), "answers")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns), "log10_p double, n_symbols long"])
+    out = finished(blocks, answers, _summed(columns, order, shards), schema)
+    return out.withColumn("perplexity", F.when(F.col("n_symbols") > 1, F.pow(F.lit(10.0), -F.col("log10_p") / F.col("n_symbols"))))
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -228,7 +300,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, deviations: float = 6.0, c
     median = lambda x: F.percentile_approx(x, F.lit(0.5), F.lit(10000))
     cut = (F.first("mid") + deviations * 1.4826 * median(F.abs(F.col("perplexity") - F.col("mid")))).alias("cut")
     mids = held.where("lang is not null").groupBy("lang").agg(median("perplexity").alias("mid"), F.count("*").alias("n")).where(F.col("n") >= least_calibrated)
-    by_lang = held.join(F.broadcast(mids), "lang").groupBy("lang").agg(cut)
+    by_lang = held.join(mids, "lang").groupBy("lang").agg(cut)
     middle = held.agg(median("perplexity").alias("mid")).first()["mid"]
     every = held.withColumn("mid", F.lit(middle).cast("double")).agg(cut).first()["cut"]
     out = marked.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("cut", F.lit(every).cast("double"), F.lit(float("inf"))))

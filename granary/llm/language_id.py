@@ -163,7 +163,8 @@ def train(labelled: DataFrame, config: Config | None = None) -> ByteConvNet | No
     """Fit on rows of ``labelled`` (text, lang); None if no row has both a text with letters and a label.
 
     Of each language a sample of about ``rows_per_language`` rows is taken by a hash of the text (all
-    rows of a rarer language), and a few windows from anywhere in each; languages weigh alike.
+    rows of a rarer language), and a few windows from anywhere in each; languages weigh alike. Copies of a
+    text in one language teach once, so the sample stays as small as it says however often one repeats.
     """
     config = config or Config()
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -174,10 +175,11 @@ def train(labelled: DataFrame, config: Config | None = None) -> ByteConvNet | No
     key = F.xxhash64("text", F.lit(config.seed))
     share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, config.rows_per_language / n)))))
     sample = rows.select(key.alias("key"), "lang", "text").where(F.pmod("key", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    sample = sample.groupBy("key", "lang").agg(F.first("text").alias("text"))
     got = sample.mapInArrow(_training_windows(config, net.halo), "key long, lang string, x binary").toPandas().sort_values(["key", "lang", "x"], kind="stable")
     if not len(got):
         return None
-    x = np.frombuffer(b"".join(got["x"]), dtype=np.uint8).reshape(len(got), -1).astype(np.int64)
+    x = np.frombuffer(b"".join(got["x"]), dtype=np.uint8).reshape(len(got), -1)
     y = np.searchsorted(net.languages, got["lang"].to_numpy().astype(str))
     net.fit(x, y, 1.0 / np.bincount(y, minlength=len(net.languages))[y])
     return net.freeze()

@@ -67,7 +67,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most_copies: int =
 def _decide(docs: DataFrame, weights: Sequence[int], most_copies: int, seed: int) -> DataFrame:
     """The columns of mix(), and h, a hash of the text, which breaks ties of id and size."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
+    # range partitions are drawn from a sample, so what they deal is written first: texts are read once
+    rows = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h")), "sizes")
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_first(), F.col("h")]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = stored(placed.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "placed")
@@ -94,12 +95,12 @@ def _decide(docs: DataFrame, weights: Sequence[int], most_copies: int, seed: int
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most_copies: int = 3, seed: int = 11) -> DataFrame:
     """The rows of ``docs`` that the mix takes, once for each copy, with copy_no from 1 (a clashing one is replaced).
 
-    Rows and decisions meet by a hash of id, source, size and text, which deals out ids that are null or
-    repeated; rows equal in all four are interchangeable and meet by their number.
+    Rows and decisions meet by a hash of id, source and text, which deals out ids that are null or
+    repeated; rows equal in all three are interchangeable and meet by their number.
     """
-    key = F.xxhash64("doc_id", "source", "size", "h").alias("key")
+    key = F.xxhash64("doc_id", "source", "h").alias("key")
     numbered = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key")))
-    own = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h"), F.struct(*docs.columns).alias("row"))
+    own = docs.select("doc_id", "source", F.xxhash64("text").alias("h"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     own = numbered(own.select(key, "row")).alias("a")
     taken = numbered(_decide(docs, weights, most_copies, seed).where("copies > 0").select(key, "copies")).alias("b")
     # one equality only: both sides are already dealt by the key, so the texts move once

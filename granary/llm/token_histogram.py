@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import stored
 from .textarrays import chunks
 
 # Fixed value: the word pattern that byte_bpe_50k was made with.
@@ -47,6 +48,7 @@ def _lengths(ranks, pattern: str):
 def token_lengths(docs: DataFrame, ranks_path: str, pattern: str = PATTERN) -> DataFrame:
     """``docs`` without text, with n_tokens of the whole text; a null or empty text has 0.
 
+    Rows stay as they are, repeated ones too; a column named n_tokens is replaced.
     ``ranks_path`` names a tiktoken ranks file that the driver can read; its bytes, whose size is that of
     the vocabulary, are broadcast. Strings that look like special tokens are ordinary text.
     """
@@ -62,9 +64,10 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
     One row for each length that occurs, for which as a context limit: docs_longer documents would be
     cut, truncated_tokens is what remains in all, and quantile is the share of documents that fit.
-    No rows give no rows.
+    Repeated rows count each time, other columns are ignored. No rows give no rows.
     """
-    hist = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / _BLOCK))
+    # read twice below, and far cheaper to read than to encode again
+    hist = stored(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths").withColumn("block", F.floor(F.col("n_tokens") / _BLOCK))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     up = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # one row for 1024 lengths
     every = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -15,8 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Public suffixes of two labels under which domains are registered.
-TWO_LABEL_SUFFIXES = "co.uk org.uk ac.uk gov.uk com.au net.au org.au co.nz co.jp or.jp ne.jp com.br com.cn com.mx com.tr co.in co.kr co.za".split()
+from .scratch import stored
+
+#: Countries register domains under second labels such as co, com, gov or ac: two labels then make a suffix.
+TWO_LABEL_SUFFIX = r"^(ac|co|com|edu|go|gob|gouv|gov|gv|id|ltd|mil|ne|net|nom|or|org|plc|sch)\.[a-z][a-z]$"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,8 +61,8 @@ def registered(host: Column) -> tuple[Column, Column]:
     """(registered domain, public suffix) of a host; user, port and a last dot do not count."""
     name = F.regexp_replace(host, r"^.*@|:[0-9]*$|\.$", "")
     two = F.substring_index(name, ".", -2)
-    suffix = F.when(two.isin(TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
-    domain = F.when(two.isin(TWO_LABEL_SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
+    suffix = F.when(two.rlike(TWO_LABEL_SUFFIX), two).otherwise(F.substring_index(name, ".", -1))
+    domain = F.when(two.rlike(TWO_LABEL_SUFFIX), F.substring_index(name, ".", -3)).otherwise(two)
     number = name.rlike(r"^[0-9.]+$|^\[")
     return F.when(number, name).otherwise(domain), F.when(number, F.lit("")).otherwise(suffix)
 
@@ -136,20 +138,22 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[UrlRule] = (),
     named = pages.withColumns({"host": host, "path": path})
     domain, suffix = registered(F.col("host"))
     good = outcomes.where("good is not null and page_id is not null").groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("k"))
-    seen = named.select("page_id", "host").join(good, "page_id").groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    hosts, domains, suffixes, base, weights = reputation(seen.withColumns({"domain": domain, "suffix": suffix}), policy)
+    # every host once, with its labels: all levels and weights are made from this table
+    counted = named.select("page_id", "host").join(good, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
+    counted = stored(counted.withColumns({"domain": domain, "suffix": suffix}), "hosts")
+    hosts, domains, suffixes, base, weights = reputation(counted.where("n > 0"), policy)
 
-    known = named.select("host").distinct().withColumns({"domain": domain, "suffix": suffix})
+    known = counted.select("host", "domain", "suffix")
     if "a" in hosts.columns:
         as_ = lambda df, on, x: df.select(*on, F.col("a").alias(f"a_{x}"), F.col("b").alias(f"b_{x}"))
-        known = known.join(as_(hosts, ["host"], "h").join(hosts.select("host", "n"), "host"), "host", "left")
+        known = known.join(as_(hosts, ["host", "n"], "h"), "host", "left")
         known = known.join(as_(domains, ["suffix", "domain"], "d"), ["suffix", "domain"], "left").join(as_(suffixes, ["suffix"], "s"), "suffix", "left")
         mean = F.coalesce(F.col("a_d") / (F.col("a_d") + F.col("b_d")), F.col("a_s") / (F.col("a_s") + F.col("b_s")), F.lit(base))
         a, b = F.coalesce("a_h", weights["host"] * mean), F.coalesce("b_h", weights["host"] * (1 - mean))
     else:
         known, a, b = known.withColumn("n", F.lit(0)), F.lit(1.0), F.lit(0.0)
     deviation = F.sqrt(F.greatest(a * b, F.lit(0.0)) / ((a + b) * (a + b) * (a + b + 1)))
-    judged = known.select("host", (a / (a + b)).alias("good_mean"), F.least(a / (a + b) + policy.z * deviation, F.lit(1.0)).alias("good_upper"), F.coalesce("n", F.lit(0)).cast("long").alias("n_labelled"))
+    judged = stored(known.select("host", (a / (a + b)).alias("good_mean"), F.least(a / (a + b) + policy.z * deviation, F.lit(1.0)).alias("good_upper"), F.coalesce("n", F.lit(0)).cast("long").alias("n_labelled")), "judged")
     found = matched_rule(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(found["verdict"], F.when(F.col("good_upper") < policy.min_good, "block").otherwise("allow"))
     out = named.join(judged, "host", "left").withColumns({"rule": found["rule"], "verdict": verdict})
@@ -162,7 +166,6 @@ def sql(rules: Sequence[UrlRule], policy: Policy | None = None) -> str:
     ordered = sorted(rules, key=lambda r: (len(r.rule), r.rule), reverse=True)
     case = lambda get: "CASE " + " ".join(f"WHEN (p.host = '{r.host}' OR ends_with(p.host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{get(r)}'" for r in ordered) + " END"
     weigh = lambda rel, m: f"(SELECT (1 - r) / r FROM (SELECT least(greatest(coalesce((sum(n * pow(k / n - m, 2)) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), {q.most_r}), {q.least_r}), {q.most_r}) AS r FROM (SELECT n, k, {m} AS m FROM {rel})))"
-    two = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
     return rf"""
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
@@ -170,7 +173,7 @@ g AS (SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN quality = 1 AND tox
 nm AS (SELECT host, string_split(regexp_replace(host, '^.*@|:[0-9]*$|\.$', '', 'g'), '.') AS x FROM (SELECT DISTINCT host FROM p)),
 lv AS (SELECT host, CASE WHEN regexp_matches(array_to_string(x, '.'), '^[0-9.]+$|^\[') THEN '' WHEN two THEN array_to_string(x[-2:], '.') ELSE x[-1] END AS suffix,
               CASE WHEN regexp_matches(array_to_string(x, '.'), '^[0-9.]+$|^\[') THEN array_to_string(x, '.') WHEN two THEN array_to_string(x[-3:], '.') ELSE array_to_string(x[-2:], '.') END AS domain
-       FROM (SELECT host, x, array_to_string(x[-2:], '.') IN ({two}) AS two FROM nm)),
+       FROM (SELECT host, x, regexp_matches(array_to_string(x[-2:], '.'), '{TWO_LABEL_SUFFIX}') AS two FROM nm)),
 h AS (SELECT p.host, lv.suffix, lv.domain, sum(g.n)::DOUBLE AS n, sum(g.k)::DOUBLE AS k FROM p JOIN g USING (page_id) JOIN lv ON lv.host = p.host GROUP BY ALL),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),

@@ -62,6 +62,21 @@ def test_bad_hosts_are_blocked_and_small_ones_shrunk(spark):
     assert not re.search("Python|Arrow|Pandas|Cartesian", plan)
 
 
+def test_registered_domains(spark):
+    hosts = {"a.b.example.com": ("example.com", "com"), "x.shop.com.sg": ("shop.com.sg", "com.sg"), "www.kem.go.id": ("kem.go.id", "go.id"), "u@h.site.de:80": ("site.de", "de"), "1.2.3.4": ("1.2.3.4", ""), "localhost": ("localhost", "localhost"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    domain, suffix = url_reputation.registered(F.col("host"))
+    assert {r.host: (r.d, r.s) for r in df.select("host", domain.alias("d"), suffix.alias("s")).collect()} == hosts
+
+
+def test_very_long_urls(spark):
+    long = "http://" + "a" * 100_000 + ".com/" + "p" * 200_000 + "?" + "q" * 100_000
+    pages = spark.createDataFrame([(1, long), (1, long), (2, "://"), (None, long)], "page_id long, url string")
+    got = url_reputation.judge(pages, spark.createDataFrame([(1, True), (None, False)], "page_id long, good boolean")).collect()
+    assert len(got) == 4 and sorted(len(r.host) for r in got) == [0, 100_004, 100_004, 100_004] and {len(r.path) for r in got} == {0, 200_001}
+    assert {r.n_labelled for r in got if r.host} == {2}
+
+
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert url_reputation.judge(none, spark.createDataFrame([(1, True)], "page_id long, good boolean")).collect() == []
@@ -156,8 +171,8 @@ def test_kneser_ney_equals_the_definition(spark):
     model = kneser_ney.train(spark.createDataFrame([(t,) for t in train], "text string"), order)
     docs = spark.createDataFrame(list(enumerate(test)), "doc_id long, text string")
     p = brute_kn(train, order)
-    for shard in (1 << 20, 50):
-        got = {r.doc_id: r for r in kneser_ney.perplexity(docs, model, order, shard).collect()}
+    for shard, block in ((1 << 20, 1 << 20), (50, 60)):
+        got = {r.doc_id: r for r in kneser_ney.perplexity(docs, model, order, shard, block).collect()}
         for i, t in enumerate(test):
             b = b"\n" * (order - 1) + (t or "").encode() + bytes([kneser_ney.END])
             expected = sum(math.log10(p(b[k : k + order - 1], b[k + order - 1 : k + order])) for k in range(len(b) - order + 1))
@@ -182,6 +197,28 @@ def test_classifier(spark, some_docs, odd_docs, no_docs):
     assert len(kneser_ney.classify(odd_docs, trusted.limit(0)).collect()) == len(ODD)
 
 
+def test_thresholds_and_kept_equal_brute_force(spark, some_docs, odd_docs):
+    """From the perplexities: medians and median deviations of each language's held-out trusted rows."""
+    docs = some_docs.unionByName(odd_docs)
+    trusted = [r.doc_id for r in docs.where("doc_id < 118").collect()]
+    got = kneser_ney.classify(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long"), calibration_parts=2, least_calibrated=12).collect()
+    lower = lambda x: sorted(x)[math.ceil(len(x) / 2) - 1]
+
+    def cut(rows):
+        mid = lower([r.perplexity for r in rows])
+        return mid + 6 * 1.4826 * lower([abs(r.perplexity - mid) for r in rows])
+
+    held = [r for r in got if r.doc_id in trusted and zlib.crc32(str(r.doc_id).encode()) % 2 == 0 and r.perplexity is not None]
+    by_lang = {}
+    for r in held:
+        by_lang.setdefault(r.lang, []).append(r)
+    limits = {k: cut(v) for k, v in by_lang.items() if k is not None and len(v) >= 12}
+    assert 1 <= len(limits) and len({r.lang for r in got}) > len(limits)
+    for r in got:
+        assert r.threshold == pytest.approx(limits.get(r.lang, cut(held)), rel=1e-9)
+        assert r.kept == (r.perplexity is not None and r.perplexity <= r.threshold) and r.trusted == (r.doc_id in trusted)
+
+
 def test_odd_trusted_documents_do_not_let_junk_pass(spark, some_docs):
     rows = [(i, prose(i, 120), "en", "s", 1) for i in range(300)]
     odd = [i for i in range(300, 400) if zlib.crc32(str(i).encode()) % 5 == 0][:2]  # these calibrate
@@ -374,6 +411,66 @@ def test_long_conversation_over_many_parts(spark):
     assert roles("9") == whole and sum(a == b for a, b in zip(whole, true, strict=True)) > 290
 
 
+def viterbi(scores, opens, start, steps):
+    """The plain algorithm, one line after the other; ties go to the lower state."""
+    row, back = [int(start[j] + scores[0][j]) for j in range(3)], []
+    for e, o in zip(scores[1:], opens[1:], strict=True):
+        step = steps[int(o)]
+        best = [max(range(3), key=lambda k, j=j, row=row, step=step: (row[k] + step[k][j], -k)) for j in range(3)]
+        row = [int(row[best[j]] + step[best[j]][j] + e[j]) for j in range(3)]
+        back.append(best)
+    state = max(range(3), key=lambda k: (row[k], -k))
+    out = [state]
+    for best in reversed(back):
+        out.append(state := best[state])
+    return out[::-1]
+
+
+@pytest.mark.parametrize("sizes", [[1], [1, 2, 3, 1, 1, 40, 7], [300], [5, 1000, 2, 1]])
+def test_decoder_equals_plain_viterbi(sizes, monkeypatch):
+    monkeypatch.setattr(chat_format, "_CHUNK", 64)
+    rng = np.random.default_rng(sum(sizes))
+    n = sum(sizes)
+    coder = chat_format.Decoder(chat_format.Hmm(), [np.log(rng.dirichlet(np.ones(v), 3)) for v in chat_format._SIZES])
+    cols = {"marker": rng.choice(4, n, p=[0.9, 0.03, 0.03, 0.04])} | {f"f{i}": rng.integers(0, v, n) for i, v in enumerate(chat_format._SIZES)}
+    e, opens = coder.scores(cols), rng.random(n) < 0.3
+    first = np.zeros(n, bool)
+    starts = np.cumsum([0, *sizes[:-1]])
+    first[starts] = True
+    free = np.full(n, -1)
+    got = coder.path(e, opens, first, free, free)
+    want = [s for a, k in zip(starts, sizes, strict=True) for s in viterbi(e[a : a + k].tolist(), opens[a : a + k], coder.start, coder.steps)]
+    assert got.tolist() == want
+    # any cut of a conversation gives the same roles
+    for a, k in zip(starts.tolist(), sizes, strict=True):
+        if k > 2:
+            cuts = [0, *sorted(rng.choice(np.arange(1, k), 2, replace=False).tolist()), k]
+            pieces = [(a + x, a + y) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            chain = []
+            for i, (x, y) in enumerate(pieces):
+                whole = coder.table(e[x:y], opens[x:y])
+                begun = coder.start + e[x] if y - x == 1 else ((coder.start + e[x])[:, None] + coder.table(e[x + 1 : y], opens[x + 1 : y])).max(axis=0)
+                chain.append((i, 1, whole.ravel().tolist(), begun.tolist()))
+            ends = chat_format.borders([chain])
+            parts = []
+            for i, (x, y) in enumerate(pieces):
+                before, last, head = np.full(y - x, -1), np.full(y - x, -1), np.zeros(y - x, bool)
+                before[0], last[-1], head[0] = ends[i, 1][0], ends[i, 1][1], True
+                parts += coder.path(e[x:y], opens[x:y], head, before, last).tolist()
+            assert parts == want[a : a + k]
+
+
+def test_chat_bears_odd_rows(spark):
+    """Odd texts, repeated rows, one conversation for all; and a turn of very many lines."""
+    rows = [(7, 1, "user" if i % 2 else None, t) for i, (_, t, *_) in enumerate(ODD)] + [(None, i, "bot", t) for i, (_, t, *_) in enumerate(ODD)]
+    got = chat_format.canonical(clash(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "part", "at", "first", "table")).collect()
+    body = lambda ms: "\n".join(m.content for m in ms)
+    assert sorted((str(r.conv_id), str(r.turn), body(r.messages)) for r in got) == sorted((str(c), str(t), x or "") for c, t, _, x in rows)
+    many = "\n".join(f"line {i:07d}" for i in range(1_000_000))
+    one = chat_format.canonical(spark.createDataFrame([(1, 0, "user", many), (1, 1, None, "well?")], "conv_id long, turn long, role string, text string")).where("turn = 0").first()
+    assert [(m.role, m.content) for m in one.messages] == [("user", many)]
+
+
 def test_chat_empty(spark):
     assert chat_format.canonical(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 

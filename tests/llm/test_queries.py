@@ -6,6 +6,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from granary.llm import language_id, mixing
@@ -122,3 +123,32 @@ def test_very_long_clean_documents_stay(spark, tmp_path):
     text = " ".join("the" if i % 5 == 0 else f"word{i}" for i in range(200_100))
     docs = spark.createDataFrame([(1, text, "en", "s", 1), (2, "too short", "en", "s", 1)], SCHEMA)
     assert [r.doc_id for r in corpus_pipeline.apply_quality_rules(spark, docs, str(tmp_path)).collect()] == [1]
+
+
+def test_pipeline_keeps_clashing_columns_and_all_odd_rows(spark, odd_docs, tmp_path):
+    """No stage replaces a column of the documents, whatever its name, and every odd row has its defined end."""
+    names = ("score", "lang_pred", "kept", "n_words", "items", "n_hit", "leads", "text_hash", "id", "hash", "id_", "cid", "granary_guess", "base_failed", "measures_")
+    docs = odd_docs.withColumns({n: F.lit(f"own {n}") for n in names})
+    spark.createDataFrame([(1, "no such passage in any of these")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema.names == docs.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        rows = out.collect()
+        assert all(r[n] == f"own {n}" for r in rows for n in names) and {r.doc_id for r in rows} <= {r[0] for r in ODD}
+        ids = [r.doc_id for r in rows]
+        if name == "ngram_jaccard":  # of 905, 905 and 906 one row stays, blank rows all
+            assert ids.count(905) == 1 and 906 not in ids and len(ids) == len(ODD) - 2
+        if name == "decontamination":
+            assert len(ids) == len(ODD)
+        if name == "quality_rules":
+            assert 907 in ids and 908 not in ids and ids.count(905) == 2
+    mixed = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
+    assert set(names) <= set(mixed.columns) and all(r[n] == f"own {n}" for r in mixed.collect() for n in names)
+
+
+def test_near_duplicates_of_null_ids(spark, tmp_path):
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(None, a), (None, a), (4, a + " end"), (None, b), (None, b + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.remove_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert (4, a + " end") in got and len(got) == 2 and got[0] != got[1]
