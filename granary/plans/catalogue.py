@@ -321,12 +321,14 @@ def dyn_closed_both(spark, sf):
 
 # -- joins, order, shape
 
-_OL = "(SELECT o_orderkey AS k, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0) o {how} JOIN (SELECT l_orderkey AS k, sum(l_quantity) AS q FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1) l ON o.k = l.k"
+# whole tables: orders without lines and keys that are null on either side leave rows unmatched
+_OL = "(SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS k, o_orderkey, o_orderstatus FROM orders) o {how} JOIN (SELECT CASE WHEN l_orderkey % 3 = 0 THEN l_orderkey END AS k, l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey) l ON o.k = l.k"
 
 
 def _sides(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
-    return o, table(spark, sf, "lineitem").where("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_quantity").alias("q"))
+    key = lambda c, n: F.when(F.col(c) % n == 0, F.col(c)).alias("k")
+    o = table(spark, sf, "orders").select(key("o_orderkey", 2), "o_orderkey", "o_orderstatus")
+    return o, table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q")).select(key("l_orderkey", 3), "l_orderkey", "q")
 
 
 for _name, _how, _sql in (("inner", "inner", ""), ("left", "left", "LEFT"), ("right", "right", "RIGHT"), ("outer", "outer", "FULL")):
@@ -336,7 +338,7 @@ for _name, _how, _sql in (("inner", "inner", ""), ("left", "left", "LEFT"), ("ri
         return R.join(left, right, on="k", how=how)
 
     _join.__name__ = f"join_{_name}"
-    query("SELECT coalesce(o.k, l.k) AS k, o_orderstatus, q FROM " + _OL.format(how=_sql))(_join)
+    query("SELECT coalesce(o.k, l.k) AS k, o_orderkey, o_orderstatus, l_orderkey, q FROM " + _OL.format(how=_sql))(_join)
 
 
 @query("""
@@ -452,10 +454,10 @@ _PANEL = "(SELECT user_id, day(ts) AS day, avg(value) AS y, CASE user_id % 3 WHE
 
 @query(f"""
 SELECT round(avg(y) FILTER (t AND p) - avg(y) FILTER (t AND NOT p) - avg(y) FILTER (NOT t AND p) + avg(y) FILTER (NOT t AND NOT p), 6) AS att
-FROM (SELECT y, user_id % 3 = 1 AS t, day >= 10 AS p FROM {_PANEL} WHERE user_id % 3 <> 2)
+FROM (SELECT y, adopt IS NOT NULL AS t, day >= 10 AS p FROM {_PANEL})
 """)
 def did_2x2(spark, sf):
-    p = _panel(spark, sf).where("user_id % 3 <> 2").withColumns({"t": (F.col("adopt").isNotNull()).cast("int"), "post": (F.col("day") >= 10).cast("int")})
+    p = _panel(spark, sf).withColumns({"t": (F.col("adopt").isNotNull()).cast("int"), "post": (F.col("day") >= 10).cast("int")})
     return spark.createDataFrame([(round(did.did(p, "y", "t", "post", cluster="user_id").att, 6),)], "att double")
 
 

@@ -111,6 +111,20 @@ def values(df: DataFrame, name: str, *, order_by: Sequence[str | Column], valid_
     return [v for v in out if v is not None] if valid_only else out
 
 
+def take(df: DataFrame, places: Sequence[int], *, order_by: Sequence[str]) -> DataFrame:
+    """The rows at the places in the order, counted from 0; a repeated place gives its row again, one out of range none."""
+    from ..operators.relational import numbered
+
+    wanted = df.sparkSession.createDataFrame([(int(p),) for p in places], "wanted_ long")
+    return numbered(df, order_by, "place_").join(wanted, F.col("place_") == F.col("wanted_")).drop("place_", "wanted_")
+
+
+def is_valid(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``valid``: whether the column has a value (neither null nor NaN)."""
+    c = F.col(f"`{name}`")
+    return df.withColumn("valid", c.isNotNull() & ~F.isnan(c) if df.schema[name].dataType.simpleString() in ("double", "float") else c.isNotNull())
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """(column, nulls) of every column in one pass."""
     return df.agg(F.array(*(F.struct(F.lit(c).alias("column"), F.count_if(F.col(f"`{c}`").isNull()).alias("nulls")) for c in df.columns)).alias("x")).select(F.inline("x"))

@@ -88,7 +88,8 @@ def event_study(df: DataFrame, outcome: str, unit: str, time: str, group: str, *
     """Effects by time since adoption, the reference period pinned at 0; never-treated rows are controls."""
     e = F.col(time).cast("double") - _adopted(F.col(group))
     if window:
-        e = F.greatest(F.lit(float(window[0])), F.least(F.lit(float(window[1])), e))
+        # least and greatest pass over nulls, which must stay: they are the never-treated
+        e = F.when(e.isNotNull(), F.greatest(F.lit(float(window[0])), F.least(F.lit(float(window[1])), e)))
     rows = _complete(df, (outcome, unit, time)).withColumns({"y_": F.col(outcome).cast("double"), "e_": e, "g_": F.col(cluster or unit)})
     counts = {int(r["e_"]): r["n"] for r in rows.where("e_ is not null").groupBy("e_").agg(F.count("*").alias("n")).collect()}
     levels = sorted(x for x in counts if x != reference)

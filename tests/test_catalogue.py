@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from granary.plans import extended  # noqa: F401  (registers its queries)
 from granary.plans.catalogue import QUERIES, SQL
 from granary.sources import claims
 

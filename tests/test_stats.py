@@ -217,8 +217,15 @@ def test_experiment(spark):
     assert len(e.feasibility()) == 2 and e.to_dataframe(spark).count() == 4 and "cuped" in e.describe()
     b = e.business_case(1000)
     assert b["totals"]["value"] == sum(r["value"] for r in b["by_cell"])
-    assert all(0.6 < r["empirical_power"] <= 1 for r in e.simulate_power(300))
-    assert e.to_consort()["steps"][0]["n"] == 200 and len(e.to_timeline()["rows"]) == 2 and len(e.to_design_tree()["cohorts"]) == 2
+    shares = e.simulate_power(spark, 300, block=100).collect()
+    assert all(0.6 < r.share <= 1 and r.trials == 300 for r in shares) and len(shares) == len(e.cells)
+    assert sorted(map(tuple, shares)) == sorted(map(tuple, e.simulate_power(spark, 300, block=100).collect()))
+    flow = {(r.stage, r.arm): r.units for r in e.flow(spark).collect()}
+    assert flow["screened", None] == 200 and flow["allocated", None] == sum(e.required_in_stratum(s.name) for s in e.strata)
+    assert sum(n for (stage, _), n in flow.items() if stage == "planned") == pytest.approx(flow["allocated", None])
+    plan = e.schedule(spark, (("a", 2), ("b", 3))).collect()
+    assert [(r.phase, r.first_month, r.after_month) for r in plan] == [("a", 0, 2)] * 2 + [("b", 2, 5)] * 2
+    assert len(e.to_design_tree()["cohorts"]) == 2
     assert [experiment.multi_arm_adjustment(k) for k in (2, 3, 4, 5, 8)] == [1, 1.5, 4 / 3, 1.25, 2]
     assert math.isinf(experiment.sample_size_per_arm(0.1, 0.1)["n_per_arm"]) and experiment.sample_size_per_arm(0.1, 0.12, experiment.Settings(effect_size="pooled"))["n_per_arm"] == power.sample_size_two_proportions(0.1, 0.12)
     with pytest.raises(ValueError):
