@@ -307,3 +307,17 @@ def _agreed(reps: DataFrame, pairs: DataFrame) -> DataFrame:
     of = lambda x: reps.select(F.col("cid").alias(x), F.col("second").alias(f"{x}2"), F.col("third").alias(f"{x}3"))
     both = pairs.distinct().join(of("b"), "b").join(of("a"), "a")
     return both.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
+
+
+#: similarity_classes() over documents with four words and 85 hundredths; all pairs that share a shingle, so for small tables.
+SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT rid, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 0) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+shared AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT x, y FROM shared JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * k >= 85 * (nx.n + ny.n - k)),
+sides AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT DISTINCT x AS a, x AS b FROM sides UNION SELECT reach.a, sides.y FROM reach JOIN sides ON reach.b = sides.x),
+low AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.rid = reach.b GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(low.component_id, doc_id) AS component_id FROM d LEFT JOIN n ON n.rid = d.rid LEFT JOIN low ON low.a = d.rid
+"""

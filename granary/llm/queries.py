@@ -97,6 +97,7 @@ QUERIES = {
 }
 SQL: dict[str, str] = {
     "op1_url_filters": url_reputation.sql(URL_RULES),
+    "op2_ngram_jaccard_join": jaccard.SQL,
     "op4_benchmark_decontamination": decontaminate.SQL,
     "op5_quality_rules": quality_rules.SQL,
     "op6_mixing_sources": mixing.SQL,
