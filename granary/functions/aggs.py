@@ -5,7 +5,7 @@ They combine freely: ``div(total("a"), total("b"))`` is an aggregate too, with `
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +101,18 @@ def per_group(df: DataFrame, keys: Sequence[str], fn, schema: str) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(fn, schema)
 
 
+def groups(df: DataFrame, keys: Sequence[str]) -> Iterator[tuple[dict, DataFrame]]:
+    """(key, its rows as a frame) of each group, nulls being one, in order of the keys; for a few groups.
+
+    The keys alone come to the driver, a partition at a time; every frame is a filter of ``df``.
+    """
+    for r in df.select(*keys).distinct().orderBy(*(F.col(k).asc_nulls_last() for k in keys)).toLocalIterator():
+        of = df
+        for k in keys:
+            of = of.where(F.col(f"`{k}`").eqNullSafe(F.lit(r[k])))
+        yield r.asDict(), of
+
+
 def aggregate(df: DataFrame, *aggs: Column) -> DataFrame:
     """One row for the whole frame."""
     return df.agg(*aggs)

@@ -1,6 +1,7 @@
 """Window operations over an explicit order, optionally within keys (nulls are a key of their own).
 
-Without keys Spark has to bring all rows to one task; give keys for tables that do not fit there.
+As column expressions these need keys for large tables: without any, Spark brings all rows to one task.
+``operators.ordered`` has the same operations over whole frames of any size.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from ..functions.aggs import correlation
 from ..stats.power import power_analysis
+from .quantiles import exact_quantiles
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -25,14 +26,18 @@ def value_counts(df: DataFrame, name: str) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(statistic, one column for each numeric one): count, null_count, mean, std, min, 25%, 50%, 75%, max.
 
-    One aggregation, with exact interpolated quantiles.
+    Exact interpolated quantiles of columns of any size, by sorting; the rest is one aggregation. NaN do
+    not count in quantiles.
     """
     names = list(columns) if columns else numeric_columns(df)
+    cells = [F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(names)]
+    found = exact_quantiles(df.select(F.explode(F.array(*cells)).alias("x")).select("x.*"), "v", (0.25, 0.5, 0.75), ["i"]) if names else None
+    quartiles = {names[r["i"]]: r["q"] for r in found.collect()} if names else {}  # a row for each column
     labels = ("count", "null_count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
     def stats(c: str) -> Column:
         x = F.col(f"`{c}`").cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = [F.lit(v).cast("double") for v in quartiles.get(c, (None, None, None))]
         return F.array(F.count(x).cast("double"), F.count_if(x.isNull()).cast("double"), F.avg(x), F.stddev_samp(x), F.min(x), q[0], q[1], q[2], F.max(x)).alias(c)
 
     one = df.agg(*(stats(c) for c in names))
@@ -115,15 +120,15 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 def markers(df: DataFrame, column: str, percentiles: Sequence[float] = (0.05, 0.95)) -> DataFrame:
     """(mean, median, percentiles) in one row."""
-    x = F.col(column).cast("double")
-    return df.agg(F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.array(*map(F.lit, percentiles))).alias("percentiles"))
+    q = (exact_quantiles(df, column, (0.5, *percentiles)).first() or {"q": [None] * (1 + len(percentiles))})["q"]
+    return df.agg(F.avg(F.col(column).cast("double")).alias("mean")).select("mean", F.lit(q[0]).cast("double").alias("median"), F.array(*(F.lit(v).cast("double") for v in q[1:])).alias("percentiles"))
 
 
 def box_stats(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     """(…by, n, q1, median, q3, low_whisker, high_whisker): whiskers end at the last value within 1.5 IQR."""
     x = F.col(column).cast("double")
     rows = df.where(x.isNotNull()).select(*by, x.alias("x_"))
-    q = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("x_", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")).select(*by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = exact_quantiles(rows, "x_", (0.25, 0.5, 0.75), by).select(*by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     fenced = _fenced(rows, q, by)
     ends = fenced.where("inside").groupBy(*by).agg(F.min("x_").alias("low_whisker"), F.max("x_").alias("high_whisker"))
     return q.join(ends, list(by), "left")

@@ -28,10 +28,12 @@ def pinned(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder, for values that depend on how rows were partitioned.
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``; a temporary one of this
-    machine is taken only where none is set.
+    machine is taken only where none is set, under a local master.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines share when the master is {context.master}")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="granary-"))
     return df.checkpoint(eager=True)

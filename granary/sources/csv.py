@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.exprs import type_of
 
 # What a whole column must look like to become a number, a date or a boolean.
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+# A date is told by how it begins; one that cannot be read then is null.
+NUMBER = r"^-?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+DATE = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2})?"
 BOOLEAN = r"^(true|false)$"
 
 

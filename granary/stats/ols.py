@@ -72,15 +72,17 @@ def fit_ols(df: DataFrame, y: str | Column, x: dict[str, Column], *, vcov: str =
     if cluster is not None:
         cols.append((F.col(cluster) if isinstance(cluster, str) else cluster).alias("g"))
     every = df.select(*cols)
-    rows = every.filter(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in every.columns)))
+    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in every.columns))
+    rows = every.filter(whole)
 
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    got = rows.agg(
-        F.count("*").alias("n"),
-        F.sum("y").alias("sy"),
-        F.sum(F.col("y") * F.col("y")).alias("syy"),
-        *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"a{i}_{j}") for i, j in pairs),
-        *(F.sum(F.col(c) * F.col("y")).alias(f"b{i}") for i, c in enumerate(names)),
+    total = lambda x: F.sum(F.when(whole, x))
+    got = every.agg(
+        F.count("*").alias("every"),
+        F.count_if(whole).alias("n"),
+        F.var_pop(F.when(whole, F.col("y"))).alias("spread"),
+        *(total(F.col(names[i]) * F.col(names[j])).alias(f"a{i}_{j}") for i, j in pairs),
+        *(total(F.col(c) * F.col("y")).alias(f"b{i}") for i, c in enumerate(names)),
     ).first()
     n = got["n"]
     if n <= k:
@@ -116,8 +118,8 @@ def fit_ols(df: DataFrame, y: str | Column, x: dict[str, Column], *, vcov: str =
         scale = n / (n - k) if vcov == "hc1" else groups / (groups - 1) * (n - 1) / (n - k)
         cov = scale * bread @ m @ bread
         freedom = groups - 1 if vcov == "cluster" else n - k
-    spread = got["syy"] - got["sy"] ** 2 / n
-    return Fit(list(x), beta, np.sqrt(np.maximum(np.diag(cov), 0)), cov, n, freedom, rss, 1 - rss / spread if spread > 0 else math.nan, vcov, every.count() - n, groups)
+    spread = got["spread"] * n
+    return Fit(list(x), beta, np.sqrt(np.maximum(np.diag(cov), 0)), cov, n, freedom, rss, 1 - rss / spread if spread > 0 else math.nan, vcov, got["every"] - n, groups)
 
 
 def ols(df: DataFrame, dependent: str, predictors: Sequence[str]) -> Fit:

@@ -7,11 +7,13 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from granary.functions import aggs as A
 from granary.functions import windows as W
 from granary.operators import profile as P
 from granary.operators import relational as R
 from granary.operators import timegroup as T
 from granary.sources import csv as C
+from granary.sources import frames
 from granary.sources.random import Mulberry
 
 
@@ -254,3 +256,12 @@ def test_formats_and_timeline(spark):
 def test_csv_address(spark, tmp_path):
     (tmp_path / "u.csv").write_text("a\n1\n")
     assert C.read_csv_url(spark, f"file://{tmp_path}/u.csv").first().a == 1.0
+
+
+def test_take_valid_and_groups(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else float("nan") if i % 4 == 1 else float(i), "ab"[i % 2] if i else None) for i in range(10)], "k int, x double, g string")
+    assert sorted(r.k for r in frames.take(df, [3, 0, 3, 99], order_by=["k"]).collect()) == [0, 3, 3]
+    assert [r.valid for r in frames.is_valid(df, "x").orderBy("k").collect()] == [i % 4 > 1 for i in range(10)]
+    assert [r.valid for r in frames.is_valid(df, "g").orderBy("k").collect()] == [False] + [True] * 9
+    got = [(key["g"], sorted(r.k for r in rows.collect())) for key, rows in A.groups(df, ["g"])]
+    assert got == [("a", [2, 4, 6, 8]), ("b", [1, 3, 5, 7, 9]), (None, [0])]
