@@ -182,30 +182,28 @@ def _pack_model(shards: int):
     return run
 
 
-def _block_codes(rows: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram of every position of a block's texts, and its row."""
-    codes, owners, done = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+def _block_codes(rows: pa.Table, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The n-gram of every position of a block's texts, and its row, some texts at a time."""
+    done = 0
     for x in rows.column("text").chunks:
         for lo, code, owner in _codes(x, order):
-            codes.append(code)
-            owners.append(done + lo + owner)
+            yield code, done + lo + owner
         done += len(x)
-    return np.concatenate(codes), np.concatenate(owners)
 
 
-def _in_shards(codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes, shard by shard, and the shard of each."""
-    distinct = np.unique(codes)
+def _in_shards(rows: pa.Table, order: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a block, shard by shard, and the shard of each."""
+    distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(code) for code, _ in _block_codes(rows, order))]))
     shard = _shard(distinct >> np.uint64(8), shards)
-    order = np.argsort(shard, kind="stable")
-    return distinct[order], shard[order]
+    by = np.argsort(shard, kind="stable")
+    return distinct[by], shard[by]
 
 
 def _ask(order: int, shards: int):
     def run(batches):
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                codes, shard = _in_shards(_block_codes(rows_of(data.as_py()), order)[0], shards)
+                codes, shard = _in_shards(rows_of(data.as_py()), order, shards)
                 parts = list(_by_shard(shard))
                 # the bytes of an n-gram, no more
                 pack = lambda x: np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :order].tobytes()
@@ -240,12 +238,12 @@ def _answer(short, order: int):
 def _summed(names: list[str], order: int, shards: int):
     def finish(data: bytes, answers: list[bytes], _):
         rows = rows_of(data)
-        codes, owner = _block_codes(rows, order)
-        distinct, _ = _in_shards(codes, shards)
-        values = np.frombuffer(b"".join(answers), np.float32).astype(np.float64)
-        total = np.bincount(owner, values[HashIndex(distinct).find(codes)], rows.num_rows)
-        size = np.bincount(owner, minlength=rows.num_rows)
-        out = rows.select(names).combine_chunks().append_column("log10_p", pa.array(total)).append_column("n_symbols", pa.array(size.astype(np.int64)))
+        index, values = HashIndex(_in_shards(rows, order, shards)[0]), np.frombuffer(b"".join(answers), np.float32).astype(np.float64)
+        total, size = np.zeros(rows.num_rows), np.zeros(rows.num_rows, np.int64)
+        for code, owner in _block_codes(rows, order):
+            total += np.bincount(owner, values[index.find(code)], rows.num_rows)
+            size += np.bincount(owner, minlength=rows.num_rows)
+        out = rows.select(names).combine_chunks().append_column("log10_p", pa.array(total)).append_column("n_symbols", pa.array(size))
         yield from out.to_batches()
 
     return finish
