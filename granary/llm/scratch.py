@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 _LOCAL: dict[str, str] = {}
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _RUN = uuid.uuid4().hex[:12]
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffles go with it, and Python gets texts in batches of a few megabytes.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -73,12 +74,14 @@ def _write(df: DataFrame, name: str, owner: list[str] | None) -> DataFrame:
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     if owner is not None:
         owner.append(path)
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
