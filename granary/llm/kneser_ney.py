@@ -28,7 +28,8 @@ ORDER = 5
 END = 3  # a byte that ends each text
 #: Entries of one shard, about: some 50 bytes each in a worker. Those of two bytes stay together.
 SHARD_ENTRIES = 1 << 19
-BLOCK_BYTES = 8 << 20
+#: Bytes of text of a block: the larger, the fewer n-grams travel twice. It is worked through some texts at a time.
+BLOCK_BYTES = 32 << 20
 _TWO = np.uint64(0xFFFF)
 
 
@@ -298,6 +299,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, deviations: float = 6.0, c
     median = lambda x: F.percentile_approx(x, F.lit(0.5), F.lit(10000))
     cut = (F.first("mid") + deviations * 1.4826 * median(F.abs(F.col("perplexity") - F.col("mid")))).alias("cut")
     mids = held.where("lang is not null").groupBy("lang").agg(median("perplexity").alias("mid"), F.count("*").alias("n")).where(F.col("n") >= least_calibrated)
+    mids = stored(mids, "medians")  # a row for each language: its size is known when the join is planned
     by_lang = held.join(mids, "lang").groupBy("lang").agg(cut)
     middle = held.agg(median("perplexity").alias("mid")).first()["mid"]
     every = held.withColumn("mid", F.lit(middle).cast("double")).agg(cut).first()["cut"]
