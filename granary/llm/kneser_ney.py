@@ -165,6 +165,18 @@ class Scorer:
         return out
 
 
+def _encoded(log10_p: np.ndarray) -> bytes:
+    """Three bytes each: steps of 2**-18, down to -64."""
+    steps = np.clip(np.round(-log10_p * (1 << 18)), 0, (1 << 24) - 1).astype("<u4")
+    return np.ascontiguousarray(steps).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _decoded(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel() / -float(1 << 18)
+
+
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(shard, kind="stable")
     cuts = np.flatnonzero(np.diff(shard[order])) + 1
@@ -228,7 +240,7 @@ def _answer(short, order: int):
                     scorer, rows = Scorer(np.concatenate(rows), order), []
                 codes = np.zeros((len(keys) // order, 8), np.uint8)
                 codes[:, :order] = np.frombuffer(keys, np.uint8).reshape(-1, order)
-                for column, x in zip(out, (block, share, scorer.score(codes.view("<u8").ravel()).astype(np.float32).tobytes()), strict=True):
+                for column, x in zip(out, (block, share, _encoded(scorer.score(codes.view("<u8").ravel()))), strict=True):
                     column.append(x)
             n = len(out[0])
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array([b""] * n, pa.binary())], ["block", "share", "log10_p", "none"])
@@ -239,7 +251,7 @@ def _answer(short, order: int):
 def _summed(names: list[str], order: int, shards: int):
     def finish(data: bytes, answers: list[bytes], _):
         rows = rows_of(data)
-        index, values = HashIndex(_in_shards(rows, order, shards)[0]), np.frombuffer(b"".join(answers), np.float32).astype(np.float64)
+        index, values = HashIndex(_in_shards(rows, order, shards)[0]), _decoded(b"".join(answers))
         total, size = np.zeros(rows.num_rows), np.zeros(rows.num_rows, np.int64)
         for code, owner in _block_codes(rows, order):
             total += np.bincount(owner, values[index.find(code)], rows.num_rows)
@@ -266,7 +278,7 @@ def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_entr
     blocks = in_blocks(docs.select(*columns, "text"), block_bytes)
     asked = model.where(~brief).mapInArrow(_pack_model(shards), DEALT).unionByName(blocks.mapInArrow(_ask(order, shards), DEALT))
     gathered = asked.repartitionById(shards, "share").sortWithinPartitions("share", "kind")
-    answers = stored(gathered.mapInArrow(_answer(short, order), "block long, share int, log10_p binary, none binary"), "answers")
+    answers = gathered.mapInArrow(_answer(short, order), "block long, share int, log10_p binary, none binary")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns), "log10_p double, n_symbols long"])
     out = finished(blocks, answers, _summed(columns, order, shards), schema)
     return out.withColumn("perplexity", F.when(F.col("n_symbols") > 1, F.pow(F.lit(10.0), -F.col("log10_p") / F.col("n_symbols"))))
