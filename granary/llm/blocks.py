@@ -7,6 +7,7 @@ rows come in the same order whenever it is read, however tasks are cut.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import discard, stored
 from .textarrays import chunks
 
 #: Of a probe or a packed row: where it goes (share), what it is (kind), whose it is (block), and two arrays.
@@ -87,3 +88,22 @@ def finished(blocks: DataFrame, answers: DataFrame, finish, schema: str) -> Data
             yield from finish(*now)
 
     return together.mapInArrow(run, schema)
+
+
+def finished_in_waves(blocks: DataFrame, answers: DataFrame, finish, schema: str, waves: int) -> DataFrame:
+    """As ``finished``, of stored rows: about one in ``waves`` of the blocks meets its answers at a time.
+
+    What is shuffled of a wave goes when its rows are written, so no more than that share of the texts lies
+    on disk twice. The tables of blocks and of answers go at the end.
+    """
+    answers = stored(answers, "answers")
+    # block numbers follow the tasks that wrote them: a file holds blocks of one wave or two, and others skip it by its statistics
+    found = blocks.agg(F.percentile_approx("block", [k / waves for k in range(1, waves)] or [1.0]).alias("at"), F.max("block").alias("last")).first()
+    cuts = sorted({x for x in found["at"] or [] if x < found["last"]})
+    done = []
+    for low, high in zip([-1, *cuts], [*cuts, (1 << 63) - 1], strict=True):
+        of = (F.col("block") > low) & (F.col("block") <= high)
+        done.append(stored(finished(blocks.where(of), answers.where(of), finish, schema), "wave"))
+    discard(blocks)
+    discard(answers)
+    return reduce(DataFrame.unionByName, done)

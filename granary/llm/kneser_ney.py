@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import DEALT, dealt, finished, in_blocks, rows_of
+from .blocks import DEALT, dealt, finished_in_waves, in_blocks, rows_of
 from .hashindex import HashIndex, Tally
 from .scratch import intermediate, lasting, stored
 from .textarrays import Texts, chunks
@@ -30,6 +30,8 @@ END = 3  # a byte that ends each text
 SHARD_ENTRIES = 1 << 19
 #: Bytes of text of a block: the larger, the fewer n-grams travel twice. It is worked through some texts at a time.
 BLOCK_BYTES = 32 << 20
+#: Of the blocks, one in so many meets its answers at a time: the rest of the texts lies on disk once.
+WAVES = 4
 _TWO = np.uint64(0xFFFF)
 
 
@@ -262,7 +264,7 @@ def _summed(names: list[str], order: int, shards: int):
     return finish
 
 
-def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_entries: int = SHARD_ENTRIES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_entries: int = SHARD_ENTRIES, block_bytes: int = BLOCK_BYTES, waves: int = WAVES) -> DataFrame:
     """``docs`` without text, with log10_p, n_symbols (bytes and the end) and perplexity of whole texts.
 
     A null or empty text has a perplexity of null. Rows stay as they are, repeated ones too; clashing
@@ -280,7 +282,7 @@ def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_entr
     gathered = asked.repartitionById(shards, "share").sortWithinPartitions("share", "kind")
     answers = gathered.mapInArrow(_answer(short, order), "block long, share int, log10_p binary, none binary")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns), "log10_p double, n_symbols long"])
-    out = finished(blocks, answers, _summed(columns, order, shards), schema)
+    out = finished_in_waves(blocks, answers, _summed(columns, order, shards), schema, waves)
     return out.withColumn("perplexity", F.when(F.col("n_symbols") > 1, F.pow(F.lit(10.0), -F.col("log10_p") / F.col("n_symbols"))))
 
 

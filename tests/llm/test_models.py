@@ -179,6 +179,34 @@ def test_kneser_ney_equals_the_definition(spark):
             assert got[i].log10_p == pytest.approx(expected, rel=1e-4) and (got[i].perplexity is None) == (not t)
 
 
+def shuffled(spark, run):
+    """The largest number of bytes that a stage of ``run()`` has shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    ids = lambda x: [x.apply(i) for i in range(x.size())]
+    before = max((x.stageId() for x in ids(stages())), default=-1)
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return max(x.shuffleWriteBytes() for x in ids(stages()) if x.stageId() > before)
+
+
+def test_texts_meet_their_answers_in_waves(spark):
+    rng = np.random.default_rng(3)
+    # one bit a letter and 8 different n-grams: nothing stores or moves a text in less than an eighth of its size
+    texts = [rng.choice(np.frombuffer(b"ab", np.uint8), 20_000).tobytes().decode() for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = kneser_ney.train(docs.where("doc_id < 3"), 3)
+    got = {}
+
+    def run():
+        got.update((r.doc_id, r.n_symbols) for r in kneser_ney.perplexity(docs, model, 3, block_bytes=60_000).collect())
+
+    most = shuffled(spark, run)
+    assert got == {i: 20_001 for i in range(120)}
+    assert most < 120 * 20_000 / 8 / 2
+
+
 def test_probabilities_sum_to_one(spark):
     p = brute_kn([prose(i, 40) for i in range(4)], 3)
     assert sum(p(b"th", bytes([w])) for w in range(256)) == pytest.approx(1, abs=1e-9)
