@@ -98,7 +98,10 @@ FROM (SELECT *, l_extendedprice - 30000 AS p, l_quantity - 25 AS q FROM lineitem
 def scalar_math(spark, sf):
     x = table(spark, sf, "lineitem").withColumns({"p": E.sub(F.col("l_extendedprice"), 30000), "q": E.sub(F.col("l_quantity"), 25)})
     p, q, d = F.col("p"), F.col("q"), F.col("l_discount")
-    return x.select("l_orderkey", "l_linenumber", "l_extendedprice", E.div(p, q).alias("ratio"), E.mod(p, q).alias("rest"), E.log(d).alias("lg"), E.round_half_up(E.div(E.mul(E.neg(F.col("l_tax")), 100), 4), 1).alias("r"), E.sqrt(F.col("l_quantity")).alias("sq"), E.power(d, 2).alias("pw"), E.neg(F.col("l_tax")).alias("ng"), E.absolute(p).alias("ab"), E.exp(d).alias("ex"))
+    # the ELSE branches of the SQL also take nulls, and its NaN is above 0
+    ratio = F.when((q == 0) & F.isnan(p), E.INF).otherwise(F.coalesce(E.div(p, q), F.when(q == 0, E.NAN)))
+    rest, lg = F.coalesce(E.mod(p, q), F.when(q == 0, E.NAN)), F.coalesce(E.log(F.when(d > 0, d)), F.lit(-E.INF))
+    return x.select("l_orderkey", "l_linenumber", "l_extendedprice", ratio.alias("ratio"), rest.alias("rest"), lg.alias("lg"), E.round_half_up(E.div(E.mul(E.neg(F.col("l_tax")), 100), 4), 1).alias("r"), E.sqrt(F.col("l_quantity")).alias("sq"), E.power(d, 2).alias("pw"), E.neg(F.col("l_tax")).alias("ng"), E.absolute(p).alias("ab"), E.exp(d).alias("ex"))
 
 
 @query("""
