@@ -243,6 +243,25 @@ def test_exact_quantiles(spark):
         exact_quantiles(df, "v", [2])
 
 
+def test_exact_quantiles_of_copies(spark):
+    """Copies of a value, which lie in one range, reach a task as one row; ranks between copies and infinities are exact."""
+    from granary.operators.quantiles import exact_quantiles
+
+    tracker = spark._jsparkSession.sharedState().statusStore()
+    df = spark.range(300_000).select(F.element_at(F.array(*map(F.lit, (1.0, 2.0, 2.0, 7.0))), (F.col("id") % 4 + 1).cast("int")).alias("v"))
+    before = tracker.executionsCount()
+    assert exact_quantiles(df, "v", [0, 0.25, 0.5, 0.75, 1]).first().q == [1, 1.75, 2, 3.25, 7]
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark._jsc.sc().statusStore()
+    runs = tracker.executionsList(int(before), int(tracker.executionsCount() - before))
+    ids = [k for i in range(runs.size()) for k in (int(x) for x in runs.apply(i).stages().mkString(",").split(",") if x)]
+    read = [stages.lastStageAttempt(k).shuffleReadRecords() for k in ids]
+    assert ids and max(read) < 1000, read
+    ends = spark.createDataFrame([(float("-inf"),), (3.0,), (3.0,), (float("inf"),)], "v double")
+    assert exact_quantiles(ends, "v", [0, 0.5, 1]).first().q == [float("-inf"), 3, float("inf")]
+    assert exact_quantiles(ends.where("v > 3 and v < 4"), "v", [0.5]).first() is None
+
+
 def test_formats_and_timeline(spark):
     from granary.functions.format import percent, short_number
 
