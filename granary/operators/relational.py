@@ -98,6 +98,7 @@ def join(left: DataFrame, right: DataFrame, on: str | Sequence[str] | None = Non
 
     All left columns, then the right ones without shared keys; names that clash get the suffix. Right and
     outer joins fill the left-named key from the right. With different key names the right key stays.
+    A side whose unmatched rows stay is read twice, for its rows with and without a whole key, so it must not be random.
     """
     if how not in HOW:
         raise ValueError(f"how must be one of {', '.join(HOW)}")
@@ -113,7 +114,10 @@ def join(left: DataFrame, right: DataFrame, on: str | Sequence[str] | None = Non
             raise TypeError(f"Keys of different kinds: {a} is {ka.simpleString()}, {b} is {kb.simpleString()}")
     l, r = left.alias("l"), right.alias("r")
     col = lambda side, name: F.col(f"{side}.`{name}`")
-    joined = l.join(r, reduce(lambda x, y: x & y, (col("l", a) == col("r", b) for a, b in zip(lk, rk, strict=True))), HOW[how])
+    match = reduce(lambda x, y: x & y, (col("l", a) == col("r", b) for a, b in zip(lk, rk, strict=True)))
+    whole = lambda side, names: reduce(lambda x, y: x & y, (col(side, n).isNotNull() for n in names))
+    full_l, full_r = whole("l", lk), whole("r", rk)
+    joined = l.where(full_l).join(r.where(full_r), match, HOW[how])
     shared = dict(zip(lk, rk, strict=True))
     fill = how in ("right", "outer")
     out = [F.coalesce(col("l", c), col("r", shared[c])).alias(c) if fill and c in shared else col("l", c).alias(c) for c in left.columns]
@@ -127,7 +131,13 @@ def join(left: DataFrame, right: DataFrame, on: str | Sequence[str] | None = Non
             name += suffix
         taken.add(name)
         out.append(col("r", c).alias(name))
-    return joined.select(*out)
+    # rows without a whole key match nothing: they pass by the join, whose shuffle would bring all to one task
+    parts = [joined.select(*out)]
+    if how in ("left", "outer") and any(left.schema[c].nullable for c in lk):
+        parts.append(l.where(~full_l).join(r.limit(0), F.lit(True), "left").select(*out))
+    if how in ("right", "outer") and any(right.schema[c].nullable for c in rk):
+        parts.append(l.limit(0).join(r.where(~full_r), F.lit(True), "right").select(*out))
+    return reduce(lambda x, y: x.union(y), parts)
 
 
 # -- order and limits

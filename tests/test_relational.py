@@ -68,6 +68,30 @@ def test_joins(spark, sides):
         R.join(a, b, on="zz")
 
 
+@pytest.mark.parametrize("how", ["left", "right", "outer"])
+def test_null_keys_stay_out_of_the_shuffle(spark, how):
+    """Most rows have no key: they come out unmatched, and no task gets them all."""
+    side = lambda n, step, name: spark.range(n).select(F.when(F.col("id") % step == 0, F.col("id")).alias("k"), (F.col("id") % 10).alias("j"), F.col("id").alias(name))
+    a, b = side(60_000, 100, "x"), side(90_000, 150, "y")
+    tracker, stages = spark._jsparkSession.sharedState().statusStore(), spark._jsc.sc().statusStore()
+    before = tracker.executionsCount()
+    got = [tuple(r) for r in R.join(a, b.drop("j"), on="k", how=how).collect()]
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = tracker.executionsList(int(before), int(tracker.executionsCount() - before))
+    ids = [int(x) for i in range(runs.size()) for x in runs.apply(i).stages().mkString(",").split(",") if x]
+    assert ids and max(stages.lastStageAttempt(k).shuffleReadRecords() for k in ids) < 5000
+    left = {i: i if i % 100 == 0 else None for i in range(60_000)}
+    right = {i: i if i % 150 == 0 else None for i in range(90_000)}
+    want = [(k, i % 10, i, i if k is not None and right[i] is not None else None) for i, k in left.items() if how != "right" or (k is not None and right[i] is not None)]
+    if how != "left":
+        want += [(k, None, None, i) for i, k in right.items() if k is None or left.get(i) is None]
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    two = R.join(a.where("x < 300"), b.where("y < 300"), on=["k", "j"], how=how)
+    assert two.columns == ["k", "j", "x", "y"] and two.where("x is not null and y is not null").count() == 1
+    assert two.count() == {"left": 300, "right": 300, "outer": 599}[how] and two.where("j is null").count() == 0
+
+
 def test_order_and_limits(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([5, None, 3, 5, 1])], "i int, v int")
     assert [r[0] for r in rows(R.sort(df, "v", tie=["i"]))] == [4, 2, 0, 3, 1]
